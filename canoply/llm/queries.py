@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import embedding_dedup, mixing, quality_rules, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
+    "op7_simhash": simhash.op7_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
+    "op5_embedding_dedup": embedding_dedup.OP5_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
 }
