@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, quality_rules, simhash
+from . import chat, embedding_dedup, mixing, quality_classifier, quality_rules, simhash, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
+    "op4_warc": warc.op4_warc,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op7_simhash": simhash.op7_simhash,
+    "op8_chat": chat.op8_chat,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
+    "op4_warc": warc.OP4_SQL,
     "op5_embedding_dedup": embedding_dedup.OP5_SQL,
+    "op8_chat": chat.OP8_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
 }
