@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, mixing, quality_classifier, quality_rules, simhash, warc
+from . import chat, embedding_dedup, mixing, quality_classifier, quality_rules, simhash, token_files, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_warc": warc.op4_warc,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
+    "op6_token_files": token_files.op6_token_files,
     "op7_simhash": simhash.op7_simhash,
     "op8_chat": chat.op8_chat,
     "op9_quality_rules": quality_rules.op9_quality_rules,
