@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, mixing, quality_classifier, quality_rules, simhash, token_files, warc
+from . import chat, embedding_dedup, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_chat": chat.op8_chat,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
