@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, warc
+from . import chat, embedding_dedup, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_packing": packing.op2_packing,
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_warc": warc.op4_warc,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,

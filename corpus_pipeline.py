@@ -1,17 +1,61 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last
+return the columns of documents; the last returns the bins.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from canoply.llm import mixing, packing, quality_classifier, simhash, suffix_dedup
+from canoply.llm.store import save, table
+
+
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.keep_one(docs)
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose every long passage that is anywhere else too; n_chars follows."""
+    kept = suffix_dedup.dedup(docs, texts=True)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time the mix takes a document."""
+    keyed = mixing.keyed(docs)
+    narrow = save(keyed.select("doc_id", "source", "_mix_size", "_mix_key"), "mix-keys")
+    mixed = mixing.mix(keyed, mixing.cuts(narrow))
+    return mixed.where("_mix_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document: its bin and its place there."""
+    return packing.pack(packing.measured(docs))
+
 
-from canoply.llm.store import save
+STAGES = [
+    ("quality_classifier", quality_classifier_stage),
+    ("simhash", simhash_stage),
+    ("suffix_dedup", suffix_dedup_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: Classifier, XXH64 majority bits and best-fit bins aren't SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
