@@ -110,7 +110,7 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np
             new = np.flatnonzero(np.r_[True, (np.diff(anchor) != 0) | (np.diff(at) != 1)])
             a, b, s = at[new], at[np.r_[new[1:], len(at)] - 1], anchor[new]
             context = _mix(r.between(sums, a, b + length) + ((s - a) * 256 + (b - a)).astype(np.uint64) * _U(0xA0761D6478BD642F))
-            out.append((a + x, b + x, grams[s], context))
+            out.append((a + x, b + x, _mix(grams[s]), context))  # least hashes lie close together: mixed, they spread over groups
     if not out:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
     return tuple(np.concatenate(c) for c in zip(*out))
