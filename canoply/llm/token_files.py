@@ -38,8 +38,10 @@ MAGIC, INDEX_MAGIC = b"CNPIDS01", b"CNPMPH01"
 
 #: Characters that are white space for no engine; a blank after one of them begins a token.
 _SOLID = "!-~¡-ᙿ⁰-⿿、-퟿"
-_LOOSE = re.compile(f"(?:^|[^{_SOLID}])[ \n]")
+_ENDS = re.compile(f"[{_SOLID}]")
 _CUTS = re.compile(f"(?<=[{_SOLID}])(?=[ \n])")
+#: A word of Latin letters and then marks: two tokens of the pre-tokenizer's pattern.
+_PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class Encoder:
@@ -57,68 +59,76 @@ class Encoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         size = max(vocab.values()) + 1
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.opens = {c: np.zeros(size, bool) for c in " \n"}
-        for token, i in vocab.items():
-            for c, mark in ((" ", "Ġ"), ("\n", "Ċ")):
-                self.opens[c][i] = token.startswith(mark)
-        self.cache: dict[str, bytes] = {}  # pieces without the blank before them
+        self.cache: dict[str, bytes | None] = {}  # pieces without the blank before them; None: no cut may follow
+        self.parts: dict[str, bytes] = {}  # tokens of the pre-tokenizer
         self.loose: dict[str, bytes] = {}  # pieces with all their white space
+        # byte-level alphabet: a byte that prints stands for itself, the others follow from 256 on
+        prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in prints]
+        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Cache pieces: what follows a blank or begins with a line break, without blanks inside."""
-        for c in " \n":
-            own = [p for p in pieces if (p[:1] == "\n") == (c == "\n")]
-            if own:
-                text = "".join(own) if c == "\n" else " " + " ".join(own)
-                ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
-                at = np.flatnonzero(self.opens[c][ids]).tolist()
-                if len(at) == len(own):
-                    for p, i, j in zip(own, at, [*at[1:], len(ids)], strict=True):
-                        self.cache[p] = ids[i:j].tobytes()
-                else:
-                    for p in own:
-                        self.cache[p] = self.whole(p if c == "\n" else " " + p)
+    def part(self, text: str) -> bytes:
+        """Ids of one token of the pre-tokenizer, from the model alone."""
+        got = self.parts.get(text)
+        if got is None:
+            found = self.tok.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))
+            got = self.parts[text] = np.array([t.id for t in found], self.kind).tobytes()
+        return got
+
+    def learn(self, p: str) -> bytes | None:
+        """Ids of a piece: what follows a blank, or begins with a line break."""
+        m = _PLAIN.fullmatch(p)
+        if m:
+            line, letters, marks = m.groups()
+            got = self.part("\n") + self.part(letters) if line else self.part(" " + letters)
+            got = got + self.part(marks) if marks else got
+        elif p and _ENDS.match(p, len(p) - 1):
+            got = self.whole(p if p[0] == "\n" else " " + p)
+        else:
+            got = None
+        self.cache[p] = got
+        return got
+
+    def one(self, text: str) -> bytes:
+        if not text or any(s in text for s in self.special):
+            return self.whole(text) if text else b""
+        pieces = text.replace("\n", " \n").split(" ")
+        first, last = pieces[0], pieces[-1] if len(pieces) > 1 else None
+        if first and last is not None and not _ENDS.match(first, len(first) - 1):
+            return self.slow(text)
+        out = [self.whole(first)] if first else []
+        if last is not None:
+            cache, learn = self.cache, self.learn
+            for p in pieces[1:-1]:
+                try:
+                    got = cache[p]
+                except KeyError:
+                    got = learn(p)
+                if got is None:
+                    return self.slow(text)
+                out.append(got)
+            got = cache[last] if last in cache else learn(last)
+            out.append(got if got is not None else self.whole(last if last[:1] == "\n" else " " + last))
+        return b"".join(out)
+
+    def slow(self, text: str) -> bytes:
+        """Cut before white space that follows something solid; pieces keep their white space."""
+        out = []
+        for p in _CUTS.split(text):
+            got = self.loose.get(p)
+            if got is None:
+                got = self.loose[p] = self.whole(p)
+            out.append(got)
+        return b"".join(out)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        if len(self.loose) > CACHED:
-            self.loose.clear()
-        cache = self.cache
-        cut: list[list[str] | None] = []
-        new: set[str] = set()
-        for t in texts:
-            if not t or any(s in t for s in self.special):
-                cut.append(None)
-            elif _LOOSE.search(t):
-                cut.append(["", *_CUTS.split(t)])  # first "": pieces keep their white space
-            else:
-                pieces = t.replace("\n", " \n").split(" ")
-                cut.append(pieces)
-                new.update(pieces[1:])
-        new = {p for p in new if p not in cache and p not in ("", "\n")}
-        cache.setdefault("", self.whole(" "))
-        cache.setdefault("\n", self.whole("\n"))
-        if new:
-            self._learn(new)
-        out = []
-        for t, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                out.append(self.whole(t) if t else b"")
-            elif pieces[0] or len(pieces) == 1:
-                out.append(self.whole(pieces[0]) + b"".join(map(cache.__getitem__, pieces[1:])))
-            else:
-                parts = []
-                for p in pieces[1:]:
-                    got = self.loose.get(p)
-                    if got is None:
-                        got = self.loose[p] = self.whole(p)
-                    parts.append(got)
-                out.append(b"".join(parts))
-        return out
+        for known in (self.cache, self.parts, self.loose):
+            if len(known) > CACHED:
+                known.clear()
+        return [self.one(t) for t in texts]
 
 
 @lru_cache(maxsize=2)
