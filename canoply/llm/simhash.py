@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import forest, rooted
-from .store import save, table
+from .store import save, shielded, table
 
 SEED, SHINGLE, RADIUS, TILE, CHUNK = 42, 3, 3, 512, 1500
 
@@ -192,8 +192,10 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs without near copies: of each component the one with the smallest doc_id stays."""
+    docs, undo = shielded(docs, ("doc_id", "text"))
     known = save(with_fingerprints(docs, docs.columns).withColumn("_rid", F.monotonically_increasing_id()), "fingerprinted")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")
     fps = known.select("_fp", first.alias("_first"))
     kept = classes_of(fps, "_first", radius).select(F.col("component._rid").alias("_rid")).distinct()
-    return known.join(save(kept, "kept"), "_rid", "left_semi").select(*docs.columns)
+    # what is kept grows with the corpus, so it is never broadcast: the plan is the same at every size
+    return known.join(save(kept, "kept").hint("merge"), "_rid", "left_semi").select(*undo)
