@@ -347,7 +347,7 @@ def _spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """docs without text, with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes as text.
+    """docs without text, with n_bytes, n_removed, n_spans, kept_sha256 (in place of columns of these names) and, if asked for, the kept bytes as text.
 
     What the removal leaves of a character that it cuts is dropped from text, not from kept_sha256.
     """
@@ -356,7 +356,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool =
     shift = 64 - max(6, (total // TEXT_A_GROUP).bit_length())
     known = save(_answers(_anchors(store, shift, length, gram)), "answers")
     parts = save(_partial(_contexts(store, known, shift, length, gram), length), "partial")
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256")]
     extra = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * texts
     schema = docs.select(*keep).schema
     for field in extra.split(", "):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canoply.llm import mixing, packing, quality_classifier, simhash, suffix_dedup
-from canoply.llm.store import save, table
+from canoply.llm.store import save, shielded, table
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +25,19 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose every long passage that is anywhere else too; n_chars follows."""
-    kept = suffix_dedup.dedup(docs, texts=True)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    names, kind = docs.columns, docs.schema["n_chars"].dataType
+    docs, undo = shielded(docs, ("text", "n_chars"))
+    kept = suffix_dedup.dedup(docs, texts=True).withColumn("n_chars", F.length("text").cast(kind))
+    return kept.select(*undo).select(*names)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document."""
+    docs, undo = shielded(docs, ("doc_id", "source", "text"))
     keyed = mixing.keyed(docs)
     narrow = save(keyed.select("doc_id", "source", "_mix_size", "_mix_key"), "mix-keys")
     mixed = mixing.mix(keyed, mixing.cuts(narrow))
-    return mixed.where("_mix_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)
+    return mixed.where("_mix_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*undo)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
