@@ -34,10 +34,10 @@ def spark(tmp_path_factory):
 
 
 def plain(value):
-    if value is None or value != value or str(value) == "<NA>":
+    if value is None or str(value) in ("<NA>", "nan"):
         return None
-    if isinstance(value, float):
-        return round(value, 6)
+    if isinstance(value, float):  # a whole number may come as either, if its column has nulls
+        return int(value) if value.is_integer() else round(value, 6)
     return bytes(value) if isinstance(value, bytearray) else value
 
 
