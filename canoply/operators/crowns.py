@@ -51,14 +51,14 @@ def _grid(t: pa.Table, names: Sequence[str]):
     return [t.column(c).to_numpy(zero_copy_only=False) for c in names]
 
 
-def flood(cells: DataFrame, classed: DataFrame, tile: int = TILE, on: str = "z") -> DataFrame:
+def flood(cells: DataFrame, classed: DataFrame, tile: int = TILE, on: str = "z", radius: float | None = None) -> DataFrame:
     """(top_id, row, col, cell_z, top_z, d2) for every cell that joins a top's crown.
 
     A cell joins if it is 4-connected to the top by cells from fraction times the top's height to that
-    height, all within the radius. classed has top_id, row, col, fraction, radius and the height.
+    height, all within the radius. classed has top_id, row, col, fraction, radius and the height; radius is
+    the largest there, and found by a query of its own if it isn't given.
     """
-    most = classed.agg(F.max(F.ceil("radius"))).first()[0] or 0  # one number
-    halo = int(most)
+    halo = int(-(-(classed.agg(F.max("radius")).first()[0] or 0 if radius is None else radius) // 1))
     tile = max(tile, halo)
     dealt = tiled(cells.select("row", "col", F.col(on).alias("z")), tile, halo)
     own = classed.select("top_id", "row", "col", F.col(on).alias("z"), "fraction", "radius", F.floor(F.col("row") / tile).alias("tile_row"), F.floor(F.col("col") / tile).alias("tile_col"))
@@ -189,5 +189,5 @@ def raster_i32(owned: DataFrame) -> DataFrame:
 
 def crowns(cells: DataFrame, found: DataFrame, classes: Sequence[tuple] = CLASSES, dangles: bool = True, on: str = "z") -> DataFrame:
     """(row, col, crown_id, z, d2) from tops on cells; dangles are removed if asked for."""
-    owned = owners(flood(cells, crown_class(found, classes, on), on=on))
+    owned = owners(flood(cells, crown_class(found, classes, on), on=on, radius=max(c[2] for c in classes)))
     return remove_dangles(owned, found) if dangles else owned

@@ -1,21 +1,26 @@
 """Tree tops: cells that are highest in the window of their height class.
 
-A window maximum is separable: a range frame along the row, then one along the column, over the dense
-frame. All classes share the two sorts; each is one more frame in the same window operator.
+Cells are dealt to tiles with a halo of the largest half window, one shuffle whatever the windows and
+classes; a tile's window maxima and counts are separable passes over its own small array, so neither
+the raster's frame nor a long row has to fit in a task. ``windows`` gives the same figures by range
+frames over the dense frame, built-in functions only; it needs three shuffles and is the cross-check.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .grid import dense
+from .grid import bounds, dense, tiled
 
 #: (threshold in mm, window)
 CLASSES = ((5000, 3), (12000, 5), (20000, 7))
+TILE = 256
 
 
 def by_height(z: Column, classes: Sequence[tuple], place: int = 1) -> Column:
@@ -43,18 +48,55 @@ def windows(cells: DataFrame, sizes: Sequence[int], on: str = "z") -> DataFrame:
     return grid.select(*kept, *(F.max(f"top_{w}").over(frame("col", "row", w)).alias(f"top_{w}") for w in sizes), *(F.sum(f"n_{w}").over(frame("col", "row", w)).alias(f"n_{w}") for w in sizes))
 
 
-def candidates(cells: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES, max_nulls: float | None = None, on: str = "z") -> DataFrame:
-    """Cells that no cell of their class window exceeds, with window and nulls / cells of the window in the frame."""
-    sizes = [w for _, w in classes]
-    pick = lambda name: F.coalesce(*(F.when(F.col("window") == w, F.col(f"{name}_{w}")) for w in sorted(set(sizes))))
-    r = F.expr("window div 2")
+def _slide(a: np.ndarray, w: int, join) -> np.ndarray:
+    """join over the w x w window around each cell of a; beyond the edge there is nothing."""
+    for axis in (0, 1):
+        a = np.moveaxis(a, axis, 0)
+        out = a.copy()
+        for d in range(1, w // 2 + 1):
+            join(out[d:], a[:-d], out=out[d:])
+            join(out[:-d], a[d:], out=out[:-d])
+        a = np.moveaxis(out, 0, axis)
+    return a
+
+
+def candidates(cells: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES, max_nulls: float | None = None, on: str = "z", tile: int = TILE) -> DataFrame:
+    """Cells that no cell of their class window exceeds, with window and n, the number of cells there.
+
+    With a limit on nulls also cells and nulls: the window's places in the raster's frame, and how many of them are empty.
+    """
+    halo = max(w for _, w in classes) // 2
+    tile = max(tile, 2 * halo)
+    limits = np.array([t for t, _ in sorted(classes)])
+    sizes = np.array([w for _, w in sorted(classes)], np.int64)
+    names = [*cells.columns, "window", "n"]
+    schema = cells.select("*", F.lit(0).cast("long").alias("window"), F.lit(0).cast("long").alias("n")).schema
+
+    def find(t: pa.Table) -> pa.Table:
+        r0, c0 = (t.column(c)[0].as_py() * tile - halo for c in ("tile_row", "tile_col"))
+        row, col, z = (t.column(c).to_numpy() for c in ("row", "col", on))
+        row, col = row - r0, col - c0
+        height = np.full((tile + 2 * halo,) * 2, np.iinfo(np.int64).min)
+        there = np.zeros(height.shape, np.int64)
+        height[row, col], there[row, col] = z, 1
+        kind = np.searchsorted(limits, z, "right") - 1
+        own = (kind >= 0) & (row >= halo) & (col >= halo) & (row < halo + tile) & (col < halo + tile)
+        found, n = np.zeros(len(z), bool), np.zeros(len(z), np.int64)
+        for w in np.unique(sizes).tolist():
+            at = np.flatnonzero(own & (sizes[kind] == w))
+            at = at[_slide(height, w, np.maximum)[row[at], col[at]] == z[at]]
+            found[at] = True
+            n[at] = _slide(there, w, np.add)[row[at], col[at]]
+        some = t.filter(pa.array(found))
+        return pa.table([*(some.column(c) for c in names[:-2]), pa.array(sizes[kind[found]]), pa.array(n[found])], names=names)
+
+    found = tiled(cells, tile, halo).groupBy("tile_row", "tile_col").applyInArrow(find, schema)
+    if max_nulls is None:
+        return found
+    r, limit = F.expr("window div 2"), round(max_nulls * 1_000_000)
     inside = (F.least(F.col("row") + r, "r_hi") - F.greatest(F.col("row") - r, "r_lo") + 1) * (F.least(F.col("col") + r, "c_hi") - F.greatest(F.col("col") - r, "c_lo") + 1)
-    found = height_class(windows(cells, sizes, on), classes, on).where(F.col(on) == pick("top"))
-    found = found.withColumn("cells", inside).withColumn("nulls", inside - pick("n"))
-    if max_nulls is not None:
-        limit = round(max_nulls * 1_000_000)
-        found = found.where(F.col("nulls") * 1_000_000 <= limit * F.col("cells"))
-    return found.select(*cells.columns, "window", "cells", "nulls")
+    framed = found.crossJoin(F.broadcast(bounds(cells))).withColumn("cells", inside).withColumn("nulls", F.col("cells") - F.col("n"))
+    return framed.where(F.col("nulls") * 1_000_000 <= limit * F.col("cells")).select(*names, "cells", "nulls")
 
 
 def break_ties(found: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES, on: str = "z") -> DataFrame:

@@ -77,7 +77,7 @@ def crowns_class(spark, sf_dir):
 
 def crowns_flood(spark, sf_dir):
     c = _chm(spark, sf_dir)
-    return crowns.flood(c, crowns.crown_class(tops.tops(c, MIXED, None), CROWN)).select("top_id", "row", "col", "d2")
+    return crowns.flood(c, crowns.crown_class(tops.tops(c, MIXED, None), CROWN), radius=max(x[2] for x in CROWN)).select("top_id", "row", "col", "d2")
 
 
 def crowns_owner(spark, sf_dir):
@@ -122,7 +122,7 @@ def crowns_update_heights(spark, sf_dir):
 
 
 def crowns_keep_smoothed(spark, sf_dir):
-    return crowns.update_heights(*_smoothed_crowns(spark, sf_dir), keep_smoothed=False).drop("x", "y", "window", "cells", "nulls")
+    return crowns.update_heights(*_smoothed_crowns(spark, sf_dir), keep_smoothed=False).select("top_id", "row", "col", "z")
 
 
 def _smoothed_crowns(spark, sf_dir):

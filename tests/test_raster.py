@@ -38,6 +38,18 @@ def test_null_fraction(spark):
     assert places(tops.candidates(c, ((5000, 3),), 0.3)) == [(1, 2)]
 
 
+def test_tiles_equal_range_frames(spark, data):
+    c = fixtures.chm(spark, f"{data}/sf0.001")
+    for tile in (16, 256):
+        got = {(r.row, r.col): (r.window, r.n) for r in tops.candidates(c, tops.CLASSES, tile=tile).collect()}
+        want = {}
+        for r in tops.windows(c, [3, 5, 7]).where("z >= 5000").collect():
+            w = 3 if r.z < 12000 else 5 if r.z < 20000 else 7
+            if r[f"top_{w}"] == r.z:
+                want[r.row, r.col] = (w, r[f"n_{w}"])
+        assert got == want
+
+
 def test_empty_raster(spark):
     none = cells(spark, "...")
     assert tops.tops(none, ONE, 0.2).count() == 0
