@@ -66,16 +66,23 @@ class Encoder:
         prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in prints]
         self.alphabet = {b: 256 + i for i, b in enumerate(others)}
+        self.blank, self.line, self.model = chr(self.alphabet[32]), chr(self.alphabet[10]), self.tok.model
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return self.packed(self.tok.encode(text, add_special_tokens=False).ids)
 
     def part(self, text: str) -> bytes:
         """Ids of one token of the pre-tokenizer, from the model alone."""
         got = self.parts.get(text)
         if got is None:
-            found = self.tok.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))
-            got = self.parts[text] = np.array([t.id for t in found], self.kind).tobytes()
+            if text.isascii():  # only the blank or line break before a word isn't its own sign
+                signs = text.replace(" ", self.blank).replace("\n", self.line)
+            else:
+                signs = text.encode().decode("latin-1").translate(self.alphabet)
+            got = self.parts[text] = self.packed([t.id for t in self.model.tokenize(signs)])
         return got
 
     def learn(self, p: str) -> bytes | None:
