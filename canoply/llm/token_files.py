@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .store import new_path, save, table
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
-DOCS_A_TASK, IDS_A_SHARD, KEYS_A_BUCKET, CACHED = 4096, 1 << 22, 1 << 14, 400_000
+DOCS_A_TASK, IDS_A_SHARD, KEYS_A_BUCKET, CACHED = 4096, 1 << 22, 1 << 14, 250_000
 MAGIC, INDEX_MAGIC = b"CNPIDS01", b"CNPMPH01"
 
 #: Characters that are white space for no engine; a blank after one of them begins a token.
