@@ -183,17 +183,17 @@ def _found(source: str = "c", on: str = "z", classes=MIXED) -> str:
 
 def _tops(on: str = "z", where: str = "true") -> str:
     return f"""cand2 AS (SELECT * FROM cand WHERE {where}),
-    t AS (SELECT a.row * (c_hi + 1) + a.col AS top_id, a.* FROM cand2 a CROSS JOIN b WHERE NOT EXISTS (SELECT 1 FROM cand2 q WHERE q.{on} = a.{on} AND abs(q.row - a.row) <= a.win // 2 AND abs(q.col - a.col) <= a.win // 2
+    t AS MATERIALIZED (SELECT a.row * (c_hi + 1) + a.col AS top_id, a.* FROM cand2 a CROSS JOIN b WHERE NOT EXISTS (SELECT 1 FROM cand2 q WHERE q.{on} = a.{on} AND abs(q.row - a.row) <= a.win // 2 AND abs(q.col - a.col) <= a.win // 2
       AND (q.row < a.row OR q.row = a.row AND q.col < a.col)))"""
 
 
 def _fill(source: str = "c", on: str = "z") -> str:
-    return f"""tc AS (SELECT *, {_case(on, CROWN, 1)} AS fraction, {_case(on, CROWN, 2)} AS radius FROM t),
+    return f"""tc AS MATERIALIZED (SELECT *, {_case(on, CROWN, 1)} AS fraction, {_case(on, CROWN, 2)} AS radius FROM t),
     f AS (SELECT top_id, row, col FROM tc UNION
       SELECT f.top_id, n.row, n.col FROM f JOIN tc ON tc.top_id = f.top_id JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) v(dr, dc) ON true JOIN {source} n ON n.row = f.row + v.dr AND n.col = f.col + v.dc
       WHERE n.{on} * 100 >= tc.fraction * tc.{on} AND n.{on} <= tc.{on} AND (n.row - tc.row) ** 2 + (n.col - tc.col) ** 2 <= tc.radius ** 2),
     fd AS (SELECT f.*, ((f.row - tc.row) * (f.row - tc.row) + (f.col - tc.col) * (f.col - tc.col))::BIGINT AS d2, tc.{on} AS top_z FROM f JOIN tc USING (top_id)),
-    own AS (SELECT fd.row, fd.col, fd.top_id AS crown_id, n.{on} AS z, d2 FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY d2, top_z DESC, top_id) AS nth FROM fd) fd JOIN {source} n ON n.row = fd.row AND n.col = fd.col WHERE nth = 1)"""
+    own AS MATERIALIZED (SELECT fd.row, fd.col, fd.top_id AS crown_id, n.{on} AS z, d2 FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY d2, top_z DESC, top_id) AS nth FROM fd) fd JOIN {source} n ON n.row = fd.row AND n.col = fd.col WHERE nth = 1)"""
 
 
 def _dangles() -> str:
@@ -202,7 +202,7 @@ def _dangles() -> str:
 
 
 def _with(*parts: str) -> str:
-    return "WITH RECURSIVE c AS (" + fixtures.duck_sql(fixtures.CHM) + "), " + ", ".join(parts)
+    return "WITH RECURSIVE c AS MATERIALIZED (" + fixtures.duck_sql(fixtures.CHM) + "), " + ", ".join(parts)
 
 
 _PLAIN = "WITH c AS (" + fixtures.duck_sql(fixtures.CHM) + ")"
@@ -234,7 +234,7 @@ ORACLES = {
     "crowns_update_heights": _SMOOTH_OWN + _UPDATED + " SELECT top_id, coalesce(most, z) AS z, zs FROM t LEFT JOIN u ON crown_id = top_id",
     "crowns_keep_smoothed": _SMOOTH_OWN + _UPDATED + " SELECT top_id, row, col, coalesce(most, z) AS z FROM t LEFT JOIN u ON crown_id = top_id",
     "crowns_remove_holes": _OWN + ", " + _dangles() + """, fr AS (SELECT crown_id, min(row) - 1 AS r0, max(row) + 1 AS r1, min(col) - 1 AS c0, max(col) + 1 AS c1 FROM g GROUP BY crown_id),
-      free AS (SELECT crown_id, r AS row, q AS col FROM fr, range(r0, r1 + 1) x(r), range(c0, c1 + 1) y(q) WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.crown_id = fr.crown_id AND g.row = r AND g.col = q)),
+      free AS MATERIALIZED (SELECT crown_id, r AS row, q AS col FROM fr, range(r0, r1 + 1) x(r), range(c0, c1 + 1) y(q) WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.crown_id = fr.crown_id AND g.row = r AND g.col = q)),
       out AS (SELECT crown_id, r0 AS row, c0 AS col FROM fr UNION SELECT out.crown_id, n.row, n.col FROM out JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1)) v(dr, dc) ON true
         JOIN free n ON n.crown_id = out.crown_id AND n.row = out.row + v.dr AND n.col = out.col + v.dc)
       SELECT crown_id, ((r1 - r0 + 1) * (c1 - c0 + 1) - n)::BIGINT AS area FROM fr JOIN (SELECT crown_id, count(*) AS n FROM out GROUP BY crown_id) USING (crown_id)""",
