@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .components import forest, rooted
 from .store import save, shielded, table
 
@@ -190,12 +191,11 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return docs.join(found, "_fp").select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs without near copies: of each component the one with the smallest doc_id stays."""
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near copies (Jaccard of five-word shingles 0.8 at least): of each component the one with the smallest doc_id stays."""
     docs, undo = shielded(docs, ("doc_id", "text"))
-    known = save(with_fingerprints(docs, docs.columns).withColumn("_rid", F.monotonically_increasing_id()), "fingerprinted")
+    known = save(near_copies.with_sets(docs).withColumn("_rid", F.monotonically_increasing_id()), "shingled")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")
-    fps = known.select("_fp", first.alias("_first"))
-    kept = classes_of(fps, "_first", radius).select(F.col("component._rid").alias("_rid")).distinct()
+    kept = near_copies.firsts(known.withColumn("_value", first), "_value").select(F.col("component._rid").alias("_rid"))
     # what is kept grows with the corpus, so it is never broadcast: the plan is the same at every size
     return known.join(save(kept, "kept").hint("merge"), "_rid", "left_semi").select(*undo)
