@@ -93,7 +93,7 @@ def parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
     """The record at a place: its end, headers and block, or what is wrong."""
     if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
         return "no version line"
-    top = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    top = data.find(b"\r\n\r\n", at)
     if top < 0:
         return "headers do not end"
     headers = {}
