@@ -7,8 +7,9 @@ occur more than once, and only those meet the pages again.
 
 Reading: files come as binary rows. A record must have a version line, well-formed headers, its whole
 block and end marker, and matching digests; a gzip member must inflate to its trailer. After a failed
-check the reader looks for the next member or version line, goes on there, and logs the bytes between
-as a quarantined gap.
+check the reader looks for the next member or version line, inside a member for the next version line of
+its content, goes on there, and logs the bytes between as a quarantined gap. Of a damaged member it reads
+what inflates up to the damage.
 
 Defined cases: a null html is an empty payload; a null url gives no target line; line breaks in urls
 are percent-encoded; a null page_id is kept and refers to nothing if no page has an id; repeated rows
@@ -35,6 +36,7 @@ RECORDS_A_FILE = 2000
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _HEX, _B32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _HEADER = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*([^\r\n]*)")
 SCHEMA = "kind string, path string, at long, length long, reason string, type string, record_id string, refers_to string, uri string, payload_digest string, payload_bytes long, payload binary"
 
@@ -126,38 +128,60 @@ def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes, int]:
     return payload, int(said[1]) if said and headers.get("warc-type") == "revisit" else len(payload)
 
 
-def member(data: bytes, at: int) -> tuple[int, bytes] | str:
-    """The gzip member at a place: its end and content, or what is wrong."""
-    inflate = zlib.decompressobj(31)
-    try:
-        out = inflate.decompress(memoryview(data)[at:]) + inflate.flush()
-    except zlib.error as e:
-        return f"member: {e}"
-    return (len(data) - len(inflate.unused_data), out) if inflate.eof else "truncated member"
+def member(data: bytes, at: int) -> tuple[int, bytes, str | None]:
+    """The gzip member at a place: its end, what it inflates to up to any damage, and what is wrong."""
+    inflate, out, pos, why = zlib.decompressobj(31), [], at, None
+    step = 1 << 16
+    while pos < len(data) and not inflate.eof:
+        before = inflate.copy()
+        try:
+            out.append(inflate.decompress(data[pos : pos + step]))
+            pos += step
+        except zlib.error as e:
+            if step == 1:
+                why = f"member: {e}"
+                break
+            inflate, step = before, 1  # to the damage byte by byte
+    if why is None and not inflate.eof:
+        why = "truncated member"
+    return min(pos, len(data)) - len(inflate.unused_data), b"".join(out), why
+
+
+def inside(content: bytes) -> tuple[list[tuple[dict[str, str], bytes]], str | None]:
+    """The records in what a member inflates to, and the first thing that is wrong between them."""
+    found, pos, why = [], 0, None
+    while pos < len(content):
+        one = parse(content, pos)
+        if isinstance(one, str):
+            why = why or one
+            ahead = _VERSION.search(content, pos + 1)
+            pos = ahead.start() if ahead else len(content)
+        else:
+            found.append(one[1:])
+            pos = one[0]
+    return found, why
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
-    """('record', start, end, headers, block) and ('gap', start, end, reason), in order, over all bytes."""
+    """('record', start, end, headers, block) and ('gap', start, end, reason), in order, over all bytes.
+
+    A whole member with a bad record gives its other records and a gap over the same bytes.
+    """
     at, bad, why = 0, None, ""
     while at < len(data):
-        zipped = data.startswith(b"\x1f\x8b\x08", at)
-        got = member(data, at) if zipped else parse(data, at)
         inner: list[tuple] = []
-        if zipped and not isinstance(got, str):
-            end, content = got
-            pos = 0
-            while pos < len(content) and not isinstance(got, str):
-                one = parse(content, pos)
-                if isinstance(one, str):
-                    got = one
-                else:
-                    inner.append((one[1], one[2]))
-                    pos = one[0]
-        elif not isinstance(got, str):
-            end = got[0]
-            inner.append(got[1:])
-        if isinstance(got, str):
-            for headers, block in inner:  # whole records before the failure in this member
+        wrong = None  # in a whole member
+        if data.startswith(b"\x1f\x8b\x08", at):
+            end, content, got = member(data, at)
+            inner, wrong = inside(content)
+        else:
+            one = parse(data, at)
+            got = one if isinstance(one, str) else None
+            if got is None:
+                end = one[0]
+                inner.append(one[1:])
+        if got is not None:
+            for headers, block in inner:  # whole records before the damage of this member
                 yield "record", at, at, headers, block
             if bad is None:
                 bad, why = at, got
@@ -169,6 +193,8 @@ def salvage(data: bytes) -> Iterator[tuple]:
             bad = None
         for headers, block in inner:
             yield "record", at, end, headers, block
+        if wrong is not None:
+            yield "gap", at, end, wrong
         at = end
     if bad is not None:
         yield "gap", bad, len(data), why

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
+import random
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 
@@ -12,3 +15,38 @@ def test_long_url(spark, compare, tmp_path):
     pages = {"page_id": [1, 2, 3], "url": ["u" * (1 << 21), "v", "w" * (1 << 20)], "html": ["same", "same", "other"]}
     pq.write_table(pa.table(pages), tmp_path / "pages.parquet")
     assert compare(warc.op4_warc(spark, str(tmp_path)), warc.OP4_SQL, tmp_path)
+
+
+def archive(n):
+    rng = random.Random(1)
+    out = []
+    for i in range(n):
+        block = bytes(rng.randrange(256) for _ in range(3000))
+        head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Block-Digest: sha1:{warc.digest(block)}\r\nContent-Length: {len(block)}\r\n\r\n"
+        out.append(head.encode() + block + b"\r\n\r\n")
+    return out
+
+
+def ids(got):
+    return [x[3]["warc-record-id"][10:-1] for x in got if x[0] == "record"]
+
+
+def test_bad_record_in_a_member():
+    parts = archive(5)
+    bad = [parts[0], parts[1][:-9] + b"????" + parts[1][-5:], *parts[2:]]
+    zipped = gzip.compress(b"".join(bad))
+    got = list(warc.salvage(zipped + gzip.compress(parts[0])))
+    assert ids(got) == ["0", "2", "3", "4", "0"]
+    assert [x[1:] for x in got if x[0] == "gap"] == [(0, len(zipped), "block digest differs")]
+
+
+def test_damaged_member():
+    parts = archive(40)
+    zipped = gzip.compress(b"".join(parts))
+    cut = list(warc.salvage(zipped[: len(zipped) * 3 // 4]))
+    assert ids(cut) == [str(i) for i in range(len(ids(cut)))] and len(ids(cut)) >= 25
+    assert [x[:3] for x in cut if x[0] == "gap"] == [("gap", 0, len(zipped) * 3 // 4)]
+    wrong = bytearray(zipped)
+    wrong[-6] ^= 255  # the trailer
+    got = list(warc.salvage(bytes(wrong) + gzip.compress(parts[7])))
+    assert ids(got) == [*map(str, range(40)), "7"] and [x[1:3] for x in got if x[0] == "gap"] == [(0, len(wrong))]
