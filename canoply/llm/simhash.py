@@ -192,10 +192,13 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near copies (Jaccard of five-word shingles 0.8 at least): of each component the one with the smallest doc_id stays."""
+    """The rows of docs without near copies (Jaccard of five-word shingles 0.8 at least): of each component the one with the smallest doc_id stays.
+
+    Null ids come last; among equal ids, rows in the order of the table. Further columns are kept whatever their names.
+    """
     docs, undo = shielded(docs, ("doc_id", "text"))
-    known = save(near_copies.with_sets(docs).withColumn("_rid", F.monotonically_increasing_id()), "shingled")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")
-    kept = near_copies.firsts(known.withColumn("_value", first), "_value").select(F.col("component._rid").alias("_rid"))
+    known, found = near_copies.firsts(docs.withColumn("_rid", F.monotonically_increasing_id()), first, links)
+    kept = save(found.select(F.col("component._rid").alias("_rid")), "kept")
     # what is kept grows with the corpus, so it is never broadcast: the plan is the same at every size
-    return known.join(save(kept, "kept").hint("merge"), "_rid", "left_semi").select(*undo)
+    return known.join(kept.hint("merge"), "_rid", "left_semi").select(*undo)

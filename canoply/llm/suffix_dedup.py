@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rolling import Roller, mix
 from .store import save, table
 
 LENGTH, GRAM = 200, 64
@@ -45,39 +46,6 @@ _BITS = np.uint64(18)  # of a place in a segment
 _U = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> _U(29))) * _U(0x9E3779B97F4A7C15)
-    return x ^ (x >> _U(32))
-
-
-class Roller:
-    """Hashes of substrings: sums of byte codes times powers of an odd number, modulo 2**64."""
-
-    def __init__(self, most: int):
-        rng = np.random.default_rng(20240229)
-        self.codes = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-        base = 0x5851F42D4C957F2D
-        powers = [np.full(most, v, np.uint64) for v in (base, pow(base, -1, 1 << 64))]
-        for p in powers:
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-        self.power, self.inverse = powers
-
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.codes[data] * self.power[: len(data)], out=out[1:])
-        return out
-
-    def between(self, sums: np.ndarray, lo, hi) -> np.ndarray:
-        return _mix((sums[hi] - sums[lo]) * self.inverse[lo])
-
-    def all(self, sums: np.ndarray, n: int) -> np.ndarray:
-        """Of every substring of n bytes."""
-        k = len(sums) - n
-        return _mix((sums[n:] - sums[:k]) * self.inverse[:k]) if k > 0 else np.empty(0, np.uint64)
-
-
 _roller: list[Roller] = []
 
 
@@ -109,8 +77,8 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np
             anchor = (least[at] & ((_U(1) << _BITS) - _U(1))).astype(np.int64)
             new = np.flatnonzero(np.r_[True, (np.diff(anchor) != 0) | (np.diff(at) != 1)])
             a, b, s = at[new], at[np.r_[new[1:], len(at)] - 1], anchor[new]
-            context = _mix(r.between(sums, a, b + length) + ((s - a) * 256 + (b - a)).astype(np.uint64) * _U(0xA0761D6478BD642F))
-            out.append((a + x, b + x, _mix(grams[s]), context))  # least hashes lie close together: mixed, they spread over groups
+            context = mix(r.between(sums, a, b + length) + ((s - a) * 256 + (b - a)).astype(np.uint64) * _U(0xA0761D6478BD642F))
+            out.append((a + x, b + x, mix(grams[s]), context))  # least hashes lie close together: mixed, they spread over groups
     if not out:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
     return tuple(np.concatenate(c) for c in zip(*out))
