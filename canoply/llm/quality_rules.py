@@ -5,8 +5,9 @@ windows' hashes are compared by a hash set, and only where some hash repeats are
 their coverage summed, so the work is n log n in a text's words and nothing is shuffled.
 
 Defined cases: a null or empty text has no words, fails the base rules and is not kept; lines without
-words count neither as lines nor as repeats; repeated rows are judged one by one; an empty table gives
-an empty result; input columns are kept and only the metric names are replaced.
+words count neither as lines nor as repeats; repeated rows are judged one by one; very long texts are
+judged whole; an empty table gives an empty result; input columns are kept whatever their names, and only the
+metric names are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import SPACE, WORD, let, n_symbols, table, text_of
+from .store import SPACE, WORD, let, n_symbols, shielded, table, text_of
 
 #: Frequent function words of the four languages.
 STOP_WORDS = (
@@ -82,11 +83,11 @@ def metrics(docs: DataFrame) -> DataFrame:
         ),
     )
     by_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
-    kept = [c for c in docs.columns if c not in METRICS]
-    df = docs.select(*kept, by_words.alias("_w"), by_lines.alias("_l"), F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"), n_symbols(F.col("text")).alias("n_symbols"), (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))).alias("_upper"))
+    docs, undo = shielded(docs.select(*(c for c in docs.columns if c not in METRICS)), ("text",))
+    df = docs.select(*docs.columns, by_words.alias("_w"), by_lines.alias("_l"), F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"), n_symbols(F.col("text")).alias("n_symbols"), (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))).alias("_upper"))
     n = F.greatest(F.col("_w.n_words"), F.lit(1))
     return df.select(
-        *kept,
+        *undo,
         F.col("_w.n_words").alias("n_words"),
         "word_chars",
         "n_symbols",
