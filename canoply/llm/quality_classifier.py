@@ -81,7 +81,7 @@ class Model:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """docs without text but with _stats."""
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "_stats")]
     schema = docs.select(*keep, F.array(F.lit(0.0)).alias("_stats")).schema
 
     def batches(it):
@@ -138,7 +138,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
     """From stats (doc_id, _stats) and labels (doc_id, quality), outside the held-out fold."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.avg("quality").alias("y"))
-    rows = save(stats.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("_id")).select("_stats", "y"), "labelled")
+    rows = save(stats.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("_id")).select("_stats", "y", calibrates(F.col("doc_id")).alias("fold")), "labelled")
 
     def moments(x, y):
         v = np.rint(x * _STAT)
@@ -160,8 +160,12 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
             out += np.hstack([p.T @ p, (p.T @ np.rint(y[i : i + (1 << 16)] * _FIX))[:, None]]).astype(np.int64)
         return out.ravel()
 
-    sums = _partition_sums(rows, normal).reshape(d, d + 1) / float(_FIX * _FIX)
-    ridge = RIDGE * n * np.eye(d)
+    sums = _partition_sums(rows.where("not fold"), normal)
+    halves = sums is not None and not rows.where("fold").isEmpty()
+    if not halves:
+        sums = _partition_sums(rows, normal)
+    sums = sums.reshape(d, d + 1) / float(_FIX * _FIX)
+    ridge = RIDGE * sums[-1, -2] * np.eye(d)
     ridge[-1, -1] = 0
     beta = np.linalg.solve(sums[:, :d] + ridge, sums[:, d])
     model = Model(mean, scale, beta, (np.zeros(1), np.ones(1)))
@@ -171,25 +175,30 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
             at = np.clip(np.floor((model.raw(_matrix(b)) + 0.5) * (BINS / 2)), 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.rint(b.column("y").to_numpy() * _FIX).astype(np.int64))], names=["bin", "y"])
 
-    pooled = rows.mapInArrow(binned, "bin int, y long").groupBy("bin").agg(F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()  # BINS rows at most
+    pooled = (rows.where("fold") if halves else rows).select("_stats", "y").mapInArrow(binned, "bin int, y long").groupBy("bin").agg(F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()  # BINS rows at most
     x, y, w = np.array([[(r.bin + 0.5) * 2 / BINS - 0.5, r.y / _FIX / r.n, r.n] for r in pooled]).T
     return Model(mean, scale, beta, isotonic(x, y, w))
 
 
+def calibrates(doc_id: Column) -> Column:
+    """A quarter of the rows, by other bits than those of the held-out fold."""
+    return F.floor(F.crc32(doc_id.cast("string").cast("binary")) / 4) % 4 == 0
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def score(stats: DataFrame, model: Model) -> DataFrame:
     """stats without _stats but with score."""
-    keep = [c for c in stats.columns if c != "_stats"]
+    keep = [c for c in stats.columns if c not in ("_stats", "score")]
     schema = stats.select(*keep, F.lit(0.0).alias("score")).schema
 
     def batches(it):
         for b in it:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(model.scores(_matrix(b)))], names=[*keep, "score"])
 
-    return stats.mapInArrow(batches, schema)
+    return stats.select(*keep, "_stats").mapInArrow(batches, schema)
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
