@@ -3,7 +3,9 @@
 Writing: a record is a string column (headers, an HTTP head, the payload), and Spark's text writer with
 the record separator as line separator makes the archive, on any file system and with Spark's commit
 protocol. Payloads are matched by their SHA-1: one aggregation over narrow rows names the digests that
-occur more than once, and only those meet the pages again.
+occur more than once, and these meet the pages again (Spark broadcasts them while they are few, else the pages are
+shuffled once). Files are bounded by bytes: records of at most SMALL bytes of html and url go RECORDS_A_FILE to a file, longer ones
+fewer, the longest one to a file.
 
 Reading: files come as binary rows. A record must have a version line, well-formed headers, its whole
 block and end marker, and matching digests; a gzip member must inflate to its trailer. After a failed
@@ -13,7 +15,9 @@ what inflates up to the damage.
 
 Defined cases: a null html is an empty payload; a null url gives no target line; line breaks in urls
 are percent-encoded; a null page_id is kept and refers to nothing if no page has an id; repeated rows
-with the least page_id of their payload are all responses; an empty table gives an empty result.
+with the least page_id of their payload are all responses; very long urls and htmls make long records, up to Spark's 2 GB a
+value; lengths of more than 18 digits are a fault of the record; further columns are ignored; an empty table gives an empty
+result. A gap in the archives that the query itself wrote is an error, never a lost row.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from .store import new_path, save, table, text_of
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_A_FILE = 2000
+SMALL, RECORDS_A_FILE = 1 << 17, 2000
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _HEX, _B32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
@@ -82,9 +86,17 @@ def records(pages: DataFrame) -> DataFrame:
     return made.select(F.concat(F.lit("WARC/1.0\r\n"), headers, F.lit("\r\n"), F.col("_block")).alias("value"))
 
 
-def write(pages: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE) -> None:
-    """Archives of pages (page_id, url, html) under path."""
-    records(record_type(pages)).write.option("lineSep", END).option("maxRecordsPerFile", records_a_file).text(path)
+def write(pages: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE, small: int = SMALL) -> None:
+    """Archives of pages (page_id, url, html) under path, in files of about small * records_a_file bytes at most, or of one record."""
+    size = F.octet_length(text_of(F.col("html"))) + F.octet_length(text_of(F.col("url")))
+    typed = record_type(pages.select("page_id", "url", "html"))
+    most = pages.select(F.max(size).alias("n")).first().n or 0
+    bounds = [small << k for k in range(0, 12, 3)]  # the classes that there are: one, unless there are long records
+    for k, top in enumerate(bounds):
+        if k == 0 or most > bounds[k - 1]:
+            own = typed.where((size > (bounds[k - 1] if k else -1)) & ((size <= top) | F.lit(top == bounds[-1])))
+            many = 1 if top == bounds[-1] else max(1, records_a_file >> 3 * k)
+            records(own).write.option("lineSep", END).option("maxRecordsPerFile", many).mode("append").text(path)
 
 
 def digest(data: bytes) -> str:
@@ -104,8 +116,8 @@ def parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
         if not m:
             return "malformed header"
         headers[m[1].decode().lower()] = m[2].decode("utf-8", "replace").strip()
-    if not headers.get("content-length", "").isdecimal():
-        return "no content length"
+    if not re.fullmatch("[0-9]{1,18}", headers.get("content-length", "")):
+        return "no content length" if "content-length" not in headers else "bad content length"
     block_end = top + 4 + int(headers["content-length"])
     if data[block_end : block_end + 4] != b"\r\n\r\n":
         return "truncated block" if block_end + 4 > len(data) else "no end marker"
@@ -124,7 +136,7 @@ def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes, int]:
     if "application/http" not in headers.get("content-type", ""):
         return block, len(block)
     head, _, payload = block.partition(b"\r\n\r\n")
-    said = re.search(rb"(?im)^content-length:[ \t]*(\d+)", head)
+    said = re.search(rb"(?im)^content-length:[ \t]*(\d{1,18})[ \t]*\r?$", head)
     return payload, int(said[1]) if said and headers.get("warc-type") == "revisit" else len(payload)
 
 
@@ -225,7 +237,8 @@ def op4_warc(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
-    return read(spark, path).where("kind = 'record'").select(
+    whole = F.when(F.col("kind") == "record", True).otherwise(F.raise_error(F.concat(F.lit("gap in "), "path", F.lit(": "), "reason")).cast("boolean"))
+    return read(spark, path).where(whole).select(
         page("record_id").alias("page_id"), "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), F.col("type").alias("record_type"), page("refers_to").alias("refers_to")
     )
 
