@@ -12,8 +12,8 @@ does; it is spread over tasks of bounded memory.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors
 with a null label, link with nothing; vectors of different length don't link; repeated rows link with
-each other; null ids count as links but are no component id unless there is no other; an empty table
-gives an empty result.
+each other; null ids count as links but are no component id unless there is no other; further columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -95,10 +95,10 @@ def tile_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = BL
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label)."""
     e = F.col("embedding")
-    zero = F.lit(0.0)
+    zero = F.lit(0.0).cast(vectors.schema["embedding"].dataType.elementType)  # vectors travel as they are stored, tiles compute in double
     odd = F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = F.coalesce(F.col("label").isNotNull() & ~odd & F.exists(e, lambda v: v != 0), F.lit(False))
-    v = vectors.select("vec_id", "label", F.when(good, F.transform(e, lambda x: x.cast("double") + zero)).alias("vector"))
+    v = vectors.select("vec_id", "label", F.when(good, F.transform(e, lambda x: x + zero)).alias("vector"))  # -0.0 becomes 0.0
     classes = v.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("_least"), F.count("*").alias("_n"))
     classes = save(classes.withColumn("_dim", F.size("vector")).withColumn("_id", F.monotonically_increasing_id()), "vectors")
     found = save(tile_links(classes, threshold, block), "tiles")
