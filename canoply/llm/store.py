@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +14,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests) a temporary one."""
+    """The folder in spark.checkpoint.dir, or that set by setCheckpointDir; without one no node could read what another wrote."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="canoply-")
-        sc.setCheckpointDir(path)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -26,13 +26,42 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/canoply-{tag}-{uuid.uuid4().hex}"
 
 
+#: For what the library itself writes: shuffle files go with the end of a write, and Python gets batches of bounded bytes.
+LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """LEAN holds inside."""
+    was = {k: spark.conf.get(k, None) for k in LEAN}
+    try:
+        for k, v in LEAN.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def save(df: DataFrame, tag: str, **options) -> DataFrame:
     """Write df as a shared table and read it again: lineage ends, a lost executor costs nothing."""
     path = new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").options(**options).parquet(path)
+    with lean(df.sparkSession):
+        df.write.option("compression", "zstd").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Remove saved tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if not folder.rpartition("/")[2].startswith("canoply-"):
+                raise ValueError(f"not a table of this library: {folder}")
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def let(value: Column, body) -> Column:
     """body(v) with v bound to value, which is evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
