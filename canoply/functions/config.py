@@ -17,6 +17,10 @@ class InvalidConfig(ValueError):
 
 @dataclass(frozen=True)
 class Config:
+    settings_file: str = ""
+    build_index: bool = False
+    table_cache: int = 0
+    row_cache: int = 0
     original: str = ""
     band: int = 1
     smoothed: str = ""
@@ -58,9 +62,22 @@ class Config:
         if self.do_crowns and not (self.do_tops or self.tops):
             raise InvalidConfig("crowns need tops")
 
+    def check_files(self) -> None:
+        """Raise InvalidConfig if a phase of a run over files lacks a file: the rule of phases.can_run, and polygons need a database."""
+        self.check()
+        missing = [
+            (self.do_smoothing or self.do_tops) and not self.smoothed and "the smoothed raster",
+            (self.do_tops or self.do_crowns) and not self.tops and "the database of tops",
+            self.do_crowns and not self.crowns_raster and "the raster of crowns",
+            self.do_crowns and self.polygons and not self.crowns and "the database of crowns",
+        ]
+        if any(missing):
+            raise InvalidConfig("not named: " + ", ".join(m for m in missing if m))
+
 
 #: The key of each field in settings files.
 FIELD_KEYS = {
+    "settings_file": "settingsFile", "build_index": "buildIndex", "table_cache": "tableCacheSize", "row_cache": "rowCacheSize",
     "original": "originalCHM", "band": "originalCHMBand", "smoothed": "smoothedCHM", "smoothed_driver": "smoothedCHMDriver", "tops": "treetopsDatabase", "tops_driver": "treetopsDatabaseDriver", "crowns_raster": "crownsRaster",
     "crowns_raster_driver": "crownsRasterDriver", "crowns": "crownsDatabase", "crowns_driver": "crownsDatabaseDriver", "do_smoothing": "doSmoothing", "window": "smoothWindowSize", "sigma": "smoothSigma", "do_tops": "doTops",
     "top_thresholds": "topsThresholds", "max_nulls": "topsMaxNulls", "do_crowns": "doCrowns", "crown_thresholds": "crownsThresholds", "update_heights": "crownsUpdateHeights", "polygons": "crownsDoDatabase",
@@ -88,6 +105,8 @@ def updated(config: Config, pairs: dict[str, str]) -> Config:
     new: dict = {}
     for f in fields(Config):
         text = pairs.get(FIELD_KEYS[f.name])
+        if f.name == "settings_file":  # the file doesn't rename itself
+            continue
         if f.name.endswith("thresholds"):
             records = _records(text or "", 2 if f.name == "top_thresholds" else 3)
             new[f.name] = tuple((t, int(w)) for t, w in records) if f.name == "top_thresholds" else records

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What a configuration change can touch; a flag's bit is its place.
+#: What a configuration change can touch; a flag's bit is its place.
 FLAGS = (
     "SettingsFile", "DoSmoothing", "DoTops", "DoCrowns", "OriginalCHM", "SmoothedCHM", "TopsThresholds", "TreetopsDatabase", "TreetopsDatabaseDriver", "CrownsDoDatabase",
     "CrownsDatabase", "CrownsDatabaseDriver", "CrownsRaster", "CrownsThresholds", "CrownsKeepSmoothed", "TopsDBFormatChanged", "CrownsDBFormatChanged",

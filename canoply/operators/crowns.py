@@ -13,9 +13,10 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .grid import tiled
+from .grid import known, tiled
 from .tops import by_height
 
 #: (least height in mm, fraction in percent, radius in cells)
@@ -52,7 +53,7 @@ def _grid(t: pa.Table, names: Sequence[str]):
 
 
 def flood(cells: DataFrame, classed: DataFrame, tile: int = TILE, on: str = "z", radius: float | None = None) -> DataFrame:
-    """(top_id, row, col, cell_z, top_z, d2) for every cell that joins a top's crown.
+    """(top_id, row, col, cell_z, top_z, d2, top_row, top_col) for every cell that joins a top's crown.
 
     A cell joins if it is 4-connected to the top by cells from fraction times the top's height to that
     height, all within the radius. classed has top_id, row, col, fraction, radius and the height; radius is
@@ -60,9 +61,9 @@ def flood(cells: DataFrame, classed: DataFrame, tile: int = TILE, on: str = "z",
     """
     halo = int(-(-(classed.agg(F.max("radius")).first()[0] or 0 if radius is None else radius) // 1))
     tile = max(tile, halo)
-    dealt = tiled(cells.select("row", "col", F.col(on).alias("z")), tile, halo)
+    dealt = tiled(known(cells, on).select("row", "col", F.col(on).alias("z")), tile, halo)
     own = classed.select("top_id", "row", "col", F.col(on).alias("z"), "fraction", "radius", F.floor(F.col("row") / tile).alias("tile_row"), F.floor(F.col("col") / tile).alias("tile_col"))
-    schema = "top_id long, row long, col long, cell_z long, top_z long, d2 long"
+    schema = "top_id long, row long, col long, cell_z long, top_z long, d2 long, top_row long, top_col long"
 
     def fill(tops: pa.Table, near: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in schema.split(", ")]
@@ -86,8 +87,8 @@ def flood(cells: DataFrame, classed: DataFrame, tile: int = TILE, on: str = "z",
                 low = -(-(fraction[at] * tz[at]) // 100)[:, None, None]
                 inside = (h >= low) & (h <= top) & (d2[None] <= (radius[at] ** 2)[:, None, None]) & (h != np.iinfo(np.int64).min)
                 k, y, x = np.nonzero(grow(inside, np.broadcast_to(d2 == 0, inside.shape)))
-                parts.append((ids[at][k], tr[at][k] + offset[y], tc[at][k] + offset[x], h[k, y, x], tz[at][k], d2[y, x]))
-        cols = [np.concatenate(p) for p in zip(*parts)] if parts else [np.empty(0, np.int64)] * 6
+                parts.append((ids[at][k], tr[at][k] + offset[y], tc[at][k] + offset[x], h[k, y, x], tz[at][k], d2[y, x], tr[at][k], tc[at][k]))
+        cols = [np.concatenate(p) for p in zip(*parts)] if parts else [np.empty(0, np.int64)] * 8
         return pa.table([pa.array(c.astype(np.int64)) for c in cols], names=names)
 
     keys = ("tile_row", "tile_col")
@@ -95,17 +96,26 @@ def flood(cells: DataFrame, classed: DataFrame, tile: int = TILE, on: str = "z",
 
 
 def owners(filled: DataFrame) -> DataFrame:
-    """(row, col, crown_id, z, d2): the nearest top owns a cell, then the taller, then the lower id."""
-    best = F.min(F.struct("d2", (-F.col("top_z")).alias("t"), "top_id", "cell_z")).alias("b")
-    return filled.groupBy("row", "col").agg(best).select("row", "col", F.col("b.top_id").alias("crown_id"), F.col("b.cell_z").alias("z"), F.col("b.d2").alias("d2"))
+    """(row, col, crown_id, z, d2, top_row, top_col): the nearest top owns a cell, then the taller, then the lower id."""
+    best = F.min(F.struct("d2", (-F.col("top_z")).alias("t"), "top_id", "cell_z", "top_row", "top_col")).alias("b")
+    return filled.groupBy("row", "col").agg(best).select("row", "col", F.col("b.top_id").alias("crown_id"), F.col("b.cell_z").alias("z"), "b.d2", "b.top_row", "b.top_col")
 
 
-def per_crown(cells: DataFrame, schema: str, work, tile: int = TILE) -> DataFrame:
+def placed(owned: DataFrame) -> DataFrame:
+    """The columns that tell crowns and their places."""
+    return owned.select("crown_id", "row", "col", *(c for c in ("top_row", "top_col") if c in owned.columns))
+
+
+def per_crown(cells: DataFrame, schema, work, tile: int = TILE) -> DataFrame:
     """work(stack, ids, row0, col0, rows) for groups of whole crowns that lie near each other.
 
-    stack is (n, h, w) of masks with a margin of one cell, rows the table in the crowns' order.
+    stack is (n, h, w) of masks with a margin of one cell, rows the table in the crowns' order. Crowns go to the tile of
+    their top where cells have top_row and top_col, else of their corner.
     """
-    dealt = cells.join(cells.groupBy("crown_id").agg(F.floor(F.min("row") / tile).alias("_r"), F.floor(F.min("col") / tile).alias("_c")), "crown_id")
+    if {"top_row", "top_col"} <= set(cells.columns):
+        dealt = cells.withColumns({"_r": F.floor(F.col("top_row") / tile), "_c": F.floor(F.col("top_col") / tile)})
+    else:
+        dealt = cells.join(cells.groupBy("crown_id").agg(F.floor(F.min("row") / tile).alias("_r"), F.floor(F.min("col") / tile).alias("_c")), "crown_id")
 
     def group(t: pa.Table) -> pa.Table:
         t = t.sort_by([("crown_id", "ascending"), ("row", "ascending"), ("col", "ascending")])
@@ -126,30 +136,40 @@ def per_crown(cells: DataFrame, schema: str, work, tile: int = TILE) -> DataFram
     return dealt.groupBy("_r", "_c").applyInArrow(group, schema)
 
 
-def remove_dangles(owned: DataFrame, found: DataFrame) -> DataFrame:
-    """The cells of owned that are 4-connected to their crown's top inside the crown."""
-    seeds = found.select(F.col("top_id").alias("crown_id"), F.col("row").alias("_row"), F.col("col").alias("_col"))
-    marked = owned.join(seeds, "crown_id").withColumn("_seed", (F.col("row") == F.col("_row")) & (F.col("col") == F.col("_col")))
-    schema, names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in owned.schema), owned.columns
+def rooted(stack: np.ndarray, ids: np.ndarray, row0: np.ndarray, col0: np.ndarray, rows: pa.Table) -> np.ndarray:
+    """Of a stack of crowns what is 4-connected to their tops; rows have top_row and top_col."""
+    crown, r, c = _grid(rows, ("crown_id", "top_row", "top_col"))
+    first = np.searchsorted(crown, ids)
+    seeds = np.zeros_like(stack)
+    y, x = r[first] - row0, c[first] - col0
+    k = np.flatnonzero((y >= 0) & (x >= 0) & (y < stack.shape[1]) & (x < stack.shape[2]))
+    seeds[k, y[k], x[k]] = True
+    return grow(stack, seeds)
+
+
+def remove_dangles(owned: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The cells of owned that are 4-connected to their crown's top inside the crown; found has the tops of crowns whose cells don't name them."""
+    marked = owned
+    if "top_row" not in owned.columns:
+        marked = owned.join(found.select(F.col("top_id").alias("crown_id"), F.col("row").alias("top_row"), F.col("col").alias("top_col")), "crown_id")
+    names = owned.columns
 
     def keep(stack, ids, row0, col0, rows):
-        r, c, crown, seed = _grid(rows, ("row", "col", "crown_id", "_seed"))
+        r, c, crown = _grid(rows, ("row", "col", "crown_id"))
         k = np.searchsorted(ids, crown)
-        seeds = np.zeros_like(stack)
-        s = np.flatnonzero(seed)
-        seeds[k[s], r[s] - row0[k[s]], c[s] - col0[k[s]]] = True
-        return rows.filter(pa.array(grow(stack, seeds)[k, r - row0[k], c - col0[k]])).select(names)
+        return rows.filter(pa.array(rooted(stack, ids, row0, col0, rows)[k, r - row0[k], c - col0[k]])).select(names)
 
-    return per_crown(marked.select(*owned.columns, "_seed"), schema, keep)
+    return per_crown(marked, owned.schema, keep)
 
 
-def fill_holes(owned: DataFrame) -> DataFrame:
-    """(crown_id, row, col): the cells of each crown and of the holes that it closes in.
+def fill_holes(owned: DataFrame, dangles: bool = False) -> DataFrame:
+    """(crown_id, row, col): the cells of each crown and of the holes that it closes in; dangles: remove these first, in the same pass.
 
     Background joins over corners too, as crowns do only over edges.
     """
 
     def fill(stack, ids, row0, col0, rows):
+        stack = rooted(stack, ids, row0, col0, rows) if dangles else stack
         frame = np.zeros_like(stack)
         frame[:, [0, -1], :] = frame[:, :, [0, -1]] = True
         outside, free = frame & ~stack, ~stack
@@ -167,7 +187,7 @@ def fill_holes(owned: DataFrame) -> DataFrame:
         k, y, x = np.nonzero(~outside)
         return pa.table({"crown_id": ids[k], "row": row0[k] + y, "col": col0[k] + x})
 
-    return per_crown(owned.select("crown_id", "row", "col"), "crown_id long, row long, col long", fill)
+    return per_crown(placed(owned), "crown_id long, row long, col long", fill)
 
 
 def zonal(owned: DataFrame) -> DataFrame:
@@ -182,9 +202,18 @@ def update_heights(found: DataFrame, owned: DataFrame, chm: DataFrame, keep_smoo
     return out if keep_smoothed else out.drop("zs")
 
 
+def numbered(owned: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """(crown_id, crown_no): the crowns counted from 1 by rising id, for files of 32-bit numbers. Blocks of ids are counted first, then each block alone."""
+    ids = owned.select("crown_id").distinct().withColumn("_b", F.floor(F.col("crown_id") / block))
+    counts = ids.groupBy("_b").count()
+    before = counts.select(F.col("_b").alias("_k"), F.coalesce(F.sum("count").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_n"))
+    nth = F.row_number().over(W.partitionBy("_b").orderBy("crown_id"))
+    return ids.join(before, F.col("_b") == F.col("_k")).select("crown_id", (F.col("_n") + nth).cast("int").alias("crown_no"))
+
+
 def raster_i32(owned: DataFrame) -> DataFrame:
-    """Crowns as a raster of 32-bit numbers; ids that don't fit raise."""
-    return owned.select("row", "col", F.col("crown_id").cast("int").alias("crown_id"))
+    """Crowns as a raster of 32-bit numbers, whatever the size of their ids: (row, col, crown_no)."""
+    return owned.select("row", "col", "crown_id").join(numbered(owned), "crown_id").select("row", "col", "crown_no")
 
 
 def crowns(cells: DataFrame, found: DataFrame, classes: Sequence[tuple] = CLASSES, dangles: bool = True, on: str = "z") -> DataFrame:

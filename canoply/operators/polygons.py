@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .crowns import per_crown
+from .crowns import per_crown, placed, rooted
+from .grid import Georef
 
 
 def edges(owned: DataFrame) -> DataFrame:
@@ -62,14 +63,15 @@ def area2(ring: list[tuple[int, int]]) -> int:
     return sum(b[0] * a[1] - a[0] * b[1] for a, b in zip(ring, ring[1:], strict=False))
 
 
-def multipolygon(parts: list[list[list[tuple[int, int]]]]) -> bytes:
-    """Little-endian WKB of polygons, each an outer ring and its holes."""
+def multipolygon(parts: list[list[list[tuple[int, int]]]], geo: Georef | None = None) -> bytes:
+    """Little-endian WKB of polygons, each an outer ring and its holes; on the map if geo is given."""
+    corner, cell = ((geo.x, geo.y), (geo.width, -geo.height)) if geo else ((0.0, 0.0), (1.0, 1.0))
     out = [struct.pack("<BII", 1, 6, len(parts))]
     for polygon in parts:
         out.append(struct.pack("<BII", 1, 3, len(polygon)))
         for ring in polygon:
             out.append(struct.pack("<I", len(ring)))
-            out.append(np.array(ring, "<f8").tobytes())
+            out.append((np.array(ring, "<f8") * cell + corner).tobytes())
     return b"".join(out)
 
 
@@ -81,12 +83,17 @@ def _holds(ring: list[tuple[int, int]], p: tuple[float, float]) -> bool:
     return hit
 
 
-def polygons(owned: DataFrame, remove_holes: bool = False) -> DataFrame:
-    """crown_id, n_parts, n_holes, area, perimeter, geom for each crown, in cells."""
+def polygons(owned: DataFrame, remove_holes: bool = False, dangles: bool = False, geo: Georef | None = None) -> DataFrame:
+    """crown_id, n_parts, n_holes, area, perimeter, geom for each crown, in cells or on the map that geo gives.
+
+    dangles: crowns first lose what isn't connected to their tops, in the same pass (cells then have top_row and top_col).
+    """
+    wide, high = (geo.width, geo.height) if geo else (1.0, 1.0)
     schema = "crown_id long, n_parts long, n_holes long, area double, perimeter double, geom binary"
 
     def trace(stack, ids, row0, col0, rows):
         found = []
+        stack = rooted(stack, ids, row0, col0, rows) if dangles else stack
         for mask, crown, r, c in zip(stack, ids.tolist(), (row0 + 1).tolist(), (col0 + 1).tolist(), strict=True):
             outer, holes, length = [], [], 0
             for ring in rings(mask):
@@ -99,12 +106,12 @@ def polygons(owned: DataFrame, remove_holes: bool = False) -> DataFrame:
                     owner = next((p for p in parts if _holds(p[0], inner)), parts[0])
                     owner.append(hole)
             area = sum(area2(ring) for p in parts for ring in p) / 2
-            length = sum(abs(b[0] - a[0]) + abs(b[1] - a[1]) for p in parts for ring in p for a, b in zip(ring, ring[1:], strict=False))
-            found.append((crown, len(parts), sum(len(p) - 1 for p in parts), area, float(length), multipolygon(parts)))
+            length = sum(abs(b[0] - a[0]) * wide + abs(b[1] - a[1]) * high for p in parts for ring in p for a, b in zip(ring, ring[1:], strict=False))
+            found.append((crown, len(parts), sum(len(p) - 1 for p in parts), area * wide * high, float(length), multipolygon(parts, geo)))
         names = [x.split()[0] for x in schema.split(", ")]
         return pa.table([pa.array(x) for x in zip(*found)], names=names)
 
-    return per_crown(owned.select("crown_id", "row", "col"), schema, trace)
+    return per_crown(placed(owned), schema, trace)
 
 
 def with_attributes(shapes: DataFrame, found: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grid import known
+
 UNIT = 4096
 
 
@@ -29,7 +31,7 @@ def kernel(window: int, sigma: float) -> list[tuple[int, int]]:
 
 
 def gaussian(cells: DataFrame, window: int = 3, sigma: float = 0.8) -> DataFrame:
-    """(row, col, z, zs) for each cell of (row, col, z)."""
+    """(row, col, z, zs) for each cell of (row, col, z); a null z is nodata, and of doubled cells the greatest z counts."""
     k = F.array(*(F.struct(F.lit(d).cast("long").alias("d"), F.lit(w).cast("long").alias("w")) for d, w in kernel(window, sigma)))
 
     def along(df: DataFrame, axis: str) -> DataFrame:
@@ -37,7 +39,7 @@ def gaussian(cells: DataFrame, window: int = 3, sigma: float = 0.8) -> DataFrame
         dealt = df.withColumn("k", F.explode(k)).select(other, (F.col(axis) + F.col("k.d")).alias(axis), *((F.col(x) * F.col("k.w")).alias(x) for x in ("num", "den")), F.when(F.col("k.d") == 0, F.col("own")).alias("own"))
         return dealt.groupBy("row", "col").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.max("own").alias("own"))
 
-    first = cells.select("row", "col", F.col("z").alias("num"), F.lit(1).cast("long").alias("den"), F.col("z").alias("own"))
+    first = known(cells).groupBy("row", "col").agg(F.max("z").alias("z")).select("row", "col", F.col("z").alias("num"), F.lit(1).cast("long").alias("den"), F.col("z").alias("own"))
     return along(along(first, "col"), "row").where("own is not null").select("row", "col", F.col("own").alias("z"), F.expr("num div den").alias("zs"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .grid import bounds, dense, tiled
+from .grid import Frame, bounds, dense, known, tiled
 
 #: (threshold in mm, window)
 CLASSES = ((5000, 3), (12000, 5), (20000, 7))
@@ -60,11 +60,13 @@ def _slide(a: np.ndarray, w: int, join) -> np.ndarray:
     return a
 
 
-def candidates(cells: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES, max_nulls: float | None = None, on: str = "z", tile: int = TILE) -> DataFrame:
+def candidates(cells: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES, max_nulls: float | None = None, on: str = "z", tile: int = TILE, frame: Frame | None = None) -> DataFrame:
     """Cells that no cell of their class window exceeds, with window and n, the number of cells there.
 
-    With a limit on nulls also cells and nulls: the window's places in the raster's frame, and how many of them are empty.
+    With a limit on nulls also cells and nulls: the window's places in the raster's frame (looked up unless it is given),
+    and how many of them are empty. A null height is nodata; of doubled cells the highest counts.
     """
+    cells = known(cells, on)
     halo = max(w for _, w in classes) // 2
     tile = max(tile, 2 * halo)
     limits = np.array([t for t, _ in sorted(classes)])
@@ -74,6 +76,10 @@ def candidates(cells: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES, m
 
     def find(t: pa.Table) -> pa.Table:
         r0, c0 = (t.column(c)[0].as_py() * tile - halo for c in ("tile_row", "tile_col"))
+        t = t.sort_by([("row", "ascending"), ("col", "ascending"), (on, "descending")])
+        row, col = (t.column(c).to_numpy() for c in ("row", "col"))
+        once = np.r_[True, (row[1:] != row[:-1]) | (col[1:] != col[:-1])]
+        t = t if once.all() else t.filter(pa.array(once))
         row, col, z = (t.column(c).to_numpy() for c in ("row", "col", on))
         row, col = row - r0, col - c0
         height = np.full((tile + 2 * halo,) * 2, np.iinfo(np.int64).min)
@@ -94,8 +100,9 @@ def candidates(cells: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES, m
     if max_nulls is None:
         return found
     r, limit = F.expr("window div 2"), round(max_nulls * 1_000_000)
+    framed = found.crossJoin(F.broadcast(bounds(cells))) if frame is None else found.withColumns({k: F.lit(v).cast("long") for k, v in vars(frame).items()})
     inside = (F.least(F.col("row") + r, "r_hi") - F.greatest(F.col("row") - r, "r_lo") + 1) * (F.least(F.col("col") + r, "c_hi") - F.greatest(F.col("col") - r, "c_lo") + 1)
-    framed = found.crossJoin(F.broadcast(bounds(cells))).withColumn("cells", inside).withColumn("nulls", F.col("cells") - F.col("n"))
+    framed = framed.withColumn("cells", inside).withColumn("nulls", F.col("cells") - F.col("n"))
     return framed.where(F.col("nulls") * 1_000_000 <= limit * F.col("cells")).select(*names, "cells", "nulls")
 
 
@@ -121,12 +128,13 @@ def break_ties(found: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES, o
     return found.join(rival, beaten, "left_anti")
 
 
-def points(found: DataFrame, n_cols: DataFrame | None = None) -> DataFrame:
+def points(found: DataFrame, n_cols: DataFrame | int | None = None) -> DataFrame:
     """Tops with a stable id, row * columns + col, and x, y of the cell's centre."""
     n = n_cols if n_cols is not None else found.agg((F.max("col") + 1).alias("n_cols"))
     x = (F.col("col") + 0.5).cast("double").alias("x")
     y = (F.col("row") + 0.5).cast("double").alias("y")
-    return found.crossJoin(F.broadcast(n)).select((F.col("row") * F.col("n_cols") + F.col("col")).alias("top_id"), "row", "col", x, y, *(c for c in found.columns if c not in ("row", "col")))
+    wide = found.withColumn("n_cols", F.lit(n).cast("long")) if isinstance(n, int) else found.crossJoin(F.broadcast(n))
+    return wide.select((F.col("row") * F.col("n_cols") + F.col("col")).alias("top_id"), "row", "col", x, y, *(c for c in found.columns if c not in ("row", "col")))
 
 
 def n_cols(cells: DataFrame) -> DataFrame:
@@ -134,5 +142,7 @@ def n_cols(cells: DataFrame) -> DataFrame:
     return cells.agg((F.max("col") + 1).alias("n_cols"))
 
 
-def tops(cells: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES, max_nulls: float | None = 0.2, on: str = "z") -> DataFrame:
-    return points(break_ties(candidates(cells, classes, max_nulls, on), classes, on), n_cols(cells))
+def tops(cells: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES, max_nulls: float | None = 0.2, on: str = "z", frame: Frame | None = None) -> DataFrame:
+    """Tops of cells; with the frame of the raster at hand, cells are planned once."""
+    found = break_ties(candidates(cells, classes, max_nulls, on, frame=frame), classes, on)
+    return points(found, n_cols(cells) if frame is None else frame.c_hi + 1)

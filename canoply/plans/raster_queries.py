@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import crowns, grid, polygons, smooth, tops
-from ..sources import vector
+from ..sources import geotiff, vector
 from . import fixtures
+from .run import shared
 
 MIXED = ((5000, 3), (12000, 5), (20000, 7))
 METRES = ((5, 3), (12, 5), (20, 7))
@@ -24,18 +25,24 @@ def _metres(spark, sf_dir: str) -> DataFrame:
 
 def _owned(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = _chm(spark, sf_dir)
-    t = tops.tops(c, MIXED, None)
+    t = tops.tops(c, MIXED, None, frame=grid.frame(c))
     return c, t, crowns.crowns(c, t, CROWN, dangles=False)
 
 
 def chm_scan(spark, sf_dir):
-    c = _chm(spark, sf_dir)
+    """Heights through GeoTIFF files and back, and a band of a table."""
+    path = shared(spark, "chm")
+    geotiff.write(grid.to_float(_chm(spark, sf_dir), "z"), path, "z")
+    c = geotiff.heights(spark, path)
     both = c.withColumn("band", F.lit(1)).unionByName(c.select("row", "col", (-F.col("z")).alias("z"), F.lit(2).alias("band")))
     return grid.scan(both, 2)
 
 
 def smoothed_sink_f32(spark, sf_dir):
-    return grid.to_float(smooth.gaussian(_chm(spark, sf_dir)), "zs")
+    """Smoothed heights through 32-bit files and back."""
+    path = shared(spark, "smoothed")
+    geotiff.write(grid.to_float(smooth.gaussian(_chm(spark, sf_dir)), "zs"), path, "zs")
+    return geotiff.read(spark, path).select("row", "col", F.col("value").cast("float").alias("zs"))
 
 
 def smooth_gaussian(spark, sf_dir):
@@ -67,8 +74,8 @@ def tops_points(spark, sf_dir):
 
 
 def tops_full(spark, sf_dir):
-    s = smooth.gaussian(_chm(spark, sf_dir))
-    return tops.tops(s, MIXED, 0.2, on="zs").select("top_id", "row", "col", "z", "zs")
+    c = _chm(spark, sf_dir)
+    return tops.tops(smooth.gaussian(c), MIXED, 0.2, on="zs", frame=grid.frame(c)).select("top_id", "row", "col", "z", "zs")
 
 
 def crowns_class(spark, sf_dir):
@@ -81,11 +88,14 @@ def crowns_flood(spark, sf_dir):
 
 
 def crowns_owner(spark, sf_dir):
-    return _owned(spark, sf_dir)[2]
+    return _owned(spark, sf_dir)[2].select("row", "col", "crown_id", "z", "d2")
 
 
 def crowns_raster_i32(spark, sf_dir):
-    return crowns.raster_i32(_owned(spark, sf_dir)[2])
+    """Crowns through files of 32-bit numbers and back."""
+    path = shared(spark, "crowns")
+    geotiff.write(crowns.raster_i32(_owned(spark, sf_dir)[2]), path, "crown_no", "i4")
+    return geotiff.read(spark, path).select("row", "col", F.col("value").cast("int").alias("crown_no"))
 
 
 def crowns_remove_dangles(spark, sf_dir):
@@ -94,8 +104,8 @@ def crowns_remove_dangles(spark, sf_dir):
 
 
 def crowns_remove_holes(spark, sf_dir):
-    _, t, owned = _owned(spark, sf_dir)
-    return crowns.fill_holes(crowns.remove_dangles(owned, t)).groupBy("crown_id").agg(F.count("*").alias("area"))
+    owned = _owned(spark, sf_dir)[2]
+    return crowns.fill_holes(owned, dangles=True).groupBy("crown_id").agg(F.count("*").alias("area"))
 
 
 def crowns_zonal(spark, sf_dir):
@@ -107,8 +117,12 @@ def crowns_edges(spark, sf_dir):
 
 
 def crowns_polygons(spark, sf_dir):
-    _, t, owned = _owned(spark, sf_dir)
-    return polygons.polygons(crowns.remove_dangles(owned, t))
+    return polygons.polygons(_owned(spark, sf_dir)[2], dangles=True)
+
+
+def crowns_shapes(spark, sf_dir):
+    """The polygons without their geometry."""
+    return crowns_polygons(spark, sf_dir).drop("geom")
 
 
 def crowns_attributes(spark, sf_dir):
@@ -128,32 +142,30 @@ def crowns_keep_smoothed(spark, sf_dir):
 def _smoothed_crowns(spark, sf_dir):
     c = _chm(spark, sf_dir)
     s = smooth.gaussian(c)
-    t = tops.tops(s, MIXED, None, on="zs")
+    t = tops.tops(s, MIXED, None, on="zs", frame=grid.frame(c))
     return t, crowns.crowns(s, t, CROWN, dangles=False, on="zs"), c
 
 
 def vector_sink(spark, sf_dir):
-    """Tops through a SQLite file and back."""
-    import tempfile
-
-    t = tops.tops(_chm(spark, sf_dir), MIXED, None).select("top_id", "row", "col", "z")
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="canoply-")
-    path = f"{base.rstrip('/')}/canoply-vector-{abs(hash(sf_dir))}"
-    vector.write_sqlite(t, path, "tops")
-    return vector.read_sqlite(spark, path, "tops", "top_id long, row long, col long, z long")
+    """Tops through SQLite files, with their geometry, and back. (The files are written when the query is made.)"""
+    t = tops.tops(_chm(spark, sf_dir), MIXED, None)
+    path = shared(spark, "vector")
+    vector.write(t.select("top_id", "row", "col", "z", vector.point_wkb(F.col("x"), F.col("y")).alias("geom")), path, "SQLite", "tops", vector.POINT_RECORD)
+    back = vector.read_sqlite(spark, path, "tops", "top_id long, row long, col long, z long, geom binary")
+    return back.select("top_id", "row", "col", "z", *vector.point_xy(F.col("geom")))
 
 
 def vector_format_switch(spark, sf_dir):
     sized = tops.tops(_chm(spark, sf_dir), MIXED, None).agg(F.count("*").alias("n"))
     driver = F.lit("ESRI Shapefile")
     limits = F.explode(F.array(*(F.lit(x).cast("long") for x in (1000, 20_000_000, vector.SHAPEFILE_LIMIT))))
-    first = sized.withColumn("size_limit", limits).withColumn("tops_driver", F.when(F.col("n") * vector.POINT_RECORD > F.col("size_limit"), vector.format_after(F.col("n"), vector.POINT_RECORD, driver, 0)).otherwise(driver))
+    first = sized.withColumn("size_limit", limits).withColumn("tops_driver", vector.format_after(F.col("n"), vector.POINT_RECORD, driver, F.col("size_limit")))
     return first.withColumn("crowns_driver", vector.crowns_format(F.col("tops_driver"), driver))
 
 
 QUERIES = {f.__name__: f for f in (
     chm_scan, smoothed_sink_f32, smooth_gaussian, smooth_skip, tops_height_class, tops_local_max, tops_plateau, tops_max_nulls, tops_points, tops_full, crowns_class, crowns_flood, crowns_owner,
-    crowns_raster_i32, crowns_remove_dangles, crowns_remove_holes, crowns_zonal, crowns_edges, crowns_polygons, crowns_attributes, crowns_update_heights, crowns_keep_smoothed, vector_sink, vector_format_switch,
+    crowns_raster_i32, crowns_remove_dangles, crowns_remove_holes, crowns_zonal, crowns_edges, crowns_polygons, crowns_shapes, crowns_attributes, crowns_update_heights, crowns_keep_smoothed, vector_sink, vector_format_switch,
 )}
 
 
@@ -225,10 +237,16 @@ ORACLES = {
     "crowns_class": _with(_found(), _tops(), _fill()) + " SELECT top_id, z, fraction::BIGINT AS fraction, radius::DOUBLE AS radius FROM tc",
     "crowns_flood": _OWN + " SELECT top_id, row, col, d2 FROM fd",
     "crowns_owner": _OWN + " SELECT row, col, crown_id, z, d2 FROM own",
-    "crowns_raster_i32": _OWN + " SELECT row, col, crown_id::INTEGER AS crown_id FROM own",
+    "crowns_raster_i32": _OWN + " SELECT row, col, (dense_rank() OVER (ORDER BY crown_id))::INTEGER AS crown_no FROM own",
     "crowns_remove_dangles": _OWN + ", " + _dangles() + " SELECT row, col, crown_id FROM g",
     "crowns_zonal": _OWN + " SELECT crown_id, count(*) AS n_cells, max(z) AS max_z, min(z) AS min_z, sum(z)::BIGINT AS sum_z FROM own GROUP BY crown_id",
     "crowns_edges": _OWN + ", " + _EDGES + " SELECT * FROM e",
+    "crowns_shapes": _OWN + ", " + _dangles() + """, n AS (SELECT crown_id, count(*) AS cells FROM g GROUP BY crown_id),
+      p AS (SELECT a.crown_id, count(*) AS pairs FROM g a JOIN (VALUES (0, 1), (1, 0)) v(dr, dc) ON true JOIN g b ON b.crown_id = a.crown_id AND b.row = a.row + v.dr AND b.col = a.col + v.dc GROUP BY a.crown_id),
+      q AS (SELECT crown_id, count(*) AS blocks FROM (SELECT a.crown_id, a.row, a.col FROM g a JOIN (VALUES (0, 1), (1, 0), (1, 1)) v(dr, dc) ON true
+        JOIN g b ON b.crown_id = a.crown_id AND b.row = a.row + v.dr AND b.col = a.col + v.dc GROUP BY ALL HAVING count(*) = 3) GROUP BY crown_id)
+      SELECT crown_id, 1::BIGINT AS n_parts, (1 - cells + coalesce(pairs, 0) - coalesce(blocks, 0))::BIGINT AS n_holes, cells::DOUBLE AS area, (4 * cells - 2 * coalesce(pairs, 0))::DOUBLE AS perimeter
+      FROM n LEFT JOIN p USING (crown_id) LEFT JOIN q USING (crown_id)""",
     "crowns_attributes": _OWN + ", " + _EDGES + """, p AS (SELECT crown_id, count(*) AS perimeter FROM e GROUP BY crown_id), a AS (SELECT crown_id, count(*) AS area FROM own GROUP BY crown_id)
       SELECT crown_id, area::DOUBLE AS area, perimeter::DOUBLE AS perimeter, t.row, t.col, t.z FROM a JOIN p USING (crown_id) JOIN t ON top_id = crown_id""",
     "crowns_update_heights": _SMOOTH_OWN + _UPDATED + " SELECT top_id, coalesce(most, z) AS z, zs FROM t LEFT JOIN u ON crown_id = top_id",
@@ -238,7 +256,7 @@ ORACLES = {
       out AS (SELECT crown_id, r0 AS row, c0 AS col FROM fr UNION SELECT out.crown_id, n.row, n.col FROM out JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1)) v(dr, dc) ON true
         JOIN free n ON n.crown_id = out.crown_id AND n.row = out.row + v.dr AND n.col = out.col + v.dc)
       SELECT crown_id, ((r1 - r0 + 1) * (c1 - c0 + 1) - n)::BIGINT AS area FROM fr JOIN (SELECT crown_id, count(*) AS n FROM out GROUP BY crown_id) USING (crown_id)""",
-    "vector_sink": _with(_found(), _tops()) + " SELECT top_id, row, col, z FROM t",
+    "vector_sink": _with(_found(), _tops()) + " SELECT top_id, row, col, z, (col + 0.5)::DOUBLE AS x, (row + 0.5)::DOUBLE AS y FROM t",
     "vector_format_switch": _with(_found(), _tops()) + """, n AS (SELECT count(*) AS n FROM t), l AS (SELECT n, size_limit, CASE WHEN n * 28 > size_limit THEN 'SQLite' ELSE 'ESRI Shapefile' END AS tops_driver
       FROM n CROSS JOIN (VALUES (1000::BIGINT), (20000000), (2000000000)) v(size_limit)) SELECT n, size_limit, tops_driver, tops_driver AS crowns_driver FROM l""",
 }

@@ -1,19 +1,26 @@
-"""A run: the phases that a configuration turns on, one after the other.
+"""A run: the phases that a configuration turns on, one after the other, on tables or from file to file.
 
-Phases hand on DataFrames; nothing is computed before an output is written or looked at. Between phases
-the run asks whether it is cancelled; what is under way then is left to Spark's job groups.
+Each phase is written before the next one begins and is read again, so that progress is told and a wish to
+cancel is asked for after work is done, and no phase is computed twice. What is under way is left to Spark's
+job groups. ``run`` hands on tables in the shared folder of the cluster, ``run_files`` the files of the configuration.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.config import Config
 from ..operators import crowns, grid, polygons, smooth, tops
+from ..sources import geotiff, vector
+from ..streaming.progress import Clock
+
+#: Bytes of a crown polygon's record in a Shapefile, by its rings; and of the columns beside it.
+CROWN_RECORD = 400
 
 
 class Cancelled(RuntimeError):
@@ -32,36 +39,138 @@ def _mm(metres: float) -> int:
     return round(metres * 1000)
 
 
-def run(config: Config, chm: DataFrame, smoothed: DataFrame | None = None, found: DataFrame | None = None, cancelled: Callable[[], bool] = lambda: False, told: Callable[[float, str], None] = lambda status, message: None) -> Result:
+def _nothing(*_) -> None:
+    return None
+
+
+def shared(spark: SparkSession, tag: str) -> str:
+    """A new folder name where the cluster shares files."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/canoply-{tag}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df written and read again."""
+    path = shared(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Phases:
+    """Counts the phases of a run, tells their end and asks whether to go on."""
+
+    def __init__(self, config: Config, cancelled: Callable[[], bool], told: Callable[[float, str], None]):
+        self.all, self.done = sum([config.do_smoothing, config.do_tops, config.do_crowns]), 0
+        self.cancelled, self.told = cancelled, told
+
+    def after(self, message: str) -> None:
+        self.done += 1
+        self.told(self.done / self.all, message)
+        if self.done < self.all and self.cancelled():
+            raise Cancelled(message)
+
+
+def find(config: Config, heights: DataFrame, frame: grid.Frame | None) -> DataFrame:
+    return tops.tops(heights, [(_mm(t), w) for t, w in config.top_thresholds], config.max_nulls, on="zs", frame=frame)
+
+
+def grown(config: Config, heights: DataFrame, found: DataFrame) -> DataFrame:
+    classes = [(_mm(t), round(f * 100), r) for t, f, r in config.crown_thresholds]
+    return crowns.crowns(heights, found, classes, config.remove_dangles, on="zs")
+
+
+def run(config: Config, chm: DataFrame, smoothed: DataFrame | None = None, found: DataFrame | None = None, cancelled: Callable[[], bool] = lambda: False, told: Callable[[float, str], None] = _nothing) -> Result:
     """The results of config on chm (row, col, z in mm, and band if there are several).
 
     smoothed and found are what earlier runs made, for phases that are off. Thresholds are in metres.
     """
     config.check()
-    chm = grid.scan(chm, config.band)
-    phases = [config.do_smoothing, config.do_tops, config.do_crowns]
-    done = 0
-
-    def after(message: str) -> None:
-        nonlocal done
-        done += 1
-        told(done / sum(phases), message)
-        if done < sum(phases) and cancelled():
-            raise Cancelled(message)
-
+    chm = grid.known(grid.scan(chm, config.band))
+    phases = Phases(config, cancelled, told)
     heights = smooth.phase(chm, smoothed, config.do_smoothing, config.window, config.sigma)
     if config.do_smoothing:
-        after("smoothed")
+        heights = kept(heights, "smoothed")
+        phases.after("smoothed")
     if config.do_tops:
-        found = tops.tops(heights, [(_mm(t), w) for t, w in config.top_thresholds], config.max_nulls, on="zs")
-        after("tops found")
+        found = kept(find(config, heights, grid.frame(heights)), "tops")
+        phases.after("tops found")
     owned = shapes = None
     if config.do_crowns:
-        classes = [(_mm(t), round(f * 100), r) for t, f, r in config.crown_thresholds]
-        owned = crowns.crowns(heights, found, classes, config.remove_dangles, on="zs")
+        owned = kept(grown(config, heights, found), "crowns")
         if config.update_heights:
             found = crowns.update_heights(found, owned, chm, config.keep_smoothed)
         if config.polygons:
-            shapes = polygons.with_attributes(polygons.polygons(owned, config.remove_holes), found.select("top_id", F.col("z").alias("top_z")))
-        after("crowns grown")
+            shapes = kept(polygons.with_attributes(polygons.polygons(owned, config.remove_holes), found.select("top_id", F.col("z").alias("top_z"))), "shapes")
+        owned = owned.drop("top_row", "top_col")
+        phases.after("crowns grown")
     return Result(heights if config.do_smoothing else None, found, owned, shapes)
+
+
+_TOPS = "top_id long, row long, col long, z long, zs long"
+
+
+def _write_raster(cells: DataFrame, name: str, kind: str, path: str, driver: str, geo: grid.Georef) -> None:
+    if driver != "GTiff":
+        raise ValueError(f"no writer for {driver}")
+    geotiff.write(cells, path, name, kind, geo=geo)
+
+
+def read_tops(spark: SparkSession, config: Config) -> DataFrame:
+    """The tops that an earlier run wrote, by their driver."""
+    if config.tops_driver == "SQLite":
+        return vector.read_sqlite(spark, config.tops, "tops", _TOPS)
+    names = {x.split()[0]: x.split()[1] for x in _TOPS.split(", ")}
+    return vector.read_shapefile(spark, config.tops, names).drop("geom")
+
+
+def run_files(spark: SparkSession, config: Config, cancelled: Callable[[], bool] = lambda: False, told: Callable[[float, str], None] = _nothing, clock: Callable[[float], None] = _nothing, limit: int = vector.SHAPEFILE_LIMIT) -> Config:
+    """A run from the canopy heights that config names to the files it names; gives config with the outputs as they came to be.
+
+    Rasters are GeoTIFF mosaics in metres, a folder each; databases hold geometry on the map. A Shapefile that would pass the
+    limit becomes SQLite, and if tops do, so do crowns. clock is told the seconds since the beginning, every second.
+    """
+    config.check_files()
+    phases, geo = Phases(config, cancelled, told), geotiff.placed(spark, config.original)
+    with Clock(clock):
+        if config.do_smoothing:
+            chm = geotiff.heights(spark, config.original, config.band)
+            made = grid.to_float(smooth.gaussian(chm, config.window, config.sigma), "zs")
+            _write_raster(made, "zs", "f4", config.smoothed, config.smoothed_driver, geo)
+            phases.after("smoothed")
+        heights = None
+        if config.do_tops or config.do_crowns:  # with the original heights where there are any
+            smoothed = geotiff.heights(spark, config.smoothed, 1, "zs") if config.smoothed else geotiff.heights(spark, config.original, config.band, "zs")
+            heights = smoothed.join(geotiff.heights(spark, config.original, config.band), ["row", "col"], "left").withColumn("z", F.coalesce("z", "zs"))
+            heights = kept(heights, "heights")
+        over = False
+        if config.do_tops:
+            found = kept(find(config, heights, grid.frame(heights)), "tops")
+            config, over = _write_tops(config, found, geo, limit)
+            phases.after("tops found")
+        if config.do_crowns:
+            found = read_tops(spark, config)
+            owned = kept(grown(config, heights, found), "crowns")
+            numbers = kept(crowns.numbered(owned), "numbers")
+            raster = owned.join(numbers, "crown_id").select("row", "col", "crown_no")
+            _write_raster(raster, "crown_no", "i4", config.crowns_raster, config.crowns_raster_driver, geo)
+            if config.update_heights:
+                found = kept(crowns.update_heights(found, owned, heights.select("row", "col", "z"), config.keep_smoothed), "tops")
+                config, over = _write_tops(config, found, geo, limit)
+            if config.polygons:
+                shapes = polygons.with_attributes(polygons.polygons(owned, config.remove_holes, geo=geo).join(numbers, "crown_id"), found.select("top_id", F.col("z").alias("top_z")))
+                columns = ["crown_id", "crown_no", "n_parts", "n_holes", "area", "perimeter", "top_z", "geom"]
+                path, driver = vector.write(kept(shapes.select(columns), "shapes"), config.crowns, config.crowns_driver, "crowns", CROWN_RECORD, limit, epsg=geo.epsg, over=over)
+                config = replace(config, crowns=path, crowns_driver=driver)
+            phases.after("crowns grown")
+    return config
+
+
+def _write_tops(config: Config, found: DataFrame, geo: grid.Georef, limit: int) -> tuple[Config, bool]:
+    """config with the database of tops as it came to be, and whether it ran over."""
+    zs = F.col("zs") if "zs" in found.columns else F.lit(None).cast("long").alias("zs")
+    placed = geo.place(found)
+    made = placed.select("top_id", "row", "col", "z", zs, vector.point_wkb(F.col("x"), F.col("y")).alias("geom"))
+    path, driver = vector.write(made, config.tops, config.tops_driver, "tops", vector.POINT_RECORD, limit, epsg=geo.epsg)
+    return replace(config, tops=path, tops_driver=driver), driver != config.tops_driver

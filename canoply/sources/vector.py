@@ -1,4 +1,8 @@
-"""Vector sinks: geometry in columns, SQLite files and Shapefiles as raw bytes, and the choice by size."""
+"""Vector sinks: SQLite files and Shapefiles of points and polygons as raw bytes, and the choice between them by size.
+
+Each partition of a table makes a database, or a Shapefile of four parts (.shp, .shx, .dbf, .prj where a coordinate
+system is known), so no task holds more than its partition. Geometry travels as WKB in a column.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,7 @@ def point_wkt(x: Column, y: Column) -> Column:
     return F.concat(F.lit("POINT ("), F.format_string("%.1f", x), F.lit(" "), F.format_string("%.1f", y), F.lit(")"))
 
 
-def format_after(n_records: Column, bytes_a_record: int, driver: Column, limit: int = SHAPEFILE_LIMIT) -> Column:
+def format_after(n_records: Column, bytes_a_record: int, driver: Column, limit: int | Column = SHAPEFILE_LIMIT) -> Column:
     """The driver that a result of so many records gets: a Shapefile over the limit becomes SQLite."""
     return F.when((driver == "ESRI Shapefile") & (n_records * bytes_a_record > limit), F.lit("SQLite")).otherwise(driver)
 
@@ -68,38 +72,178 @@ def read_sqlite(spark: SparkSession, path: str, table: str, schema: str) -> Data
     return spark.read.format("binaryFile").load(path).where("length > 0").select("content").mapInArrow(rows, schema)
 
 
-def shp(points: np.ndarray) -> tuple[bytes, bytes]:
-    """The .shp and .shx bytes of points (n, 2)."""
-    n = len(points)
-    box = (*points.min(axis=0), *points.max(axis=0)) if n else (0.0,) * 4
+def point_wkb(x: Column, y: Column) -> Column:
+    """Little-endian WKB of a point. Spark has no bytes of doubles, so a small Arrow function makes them."""
+
+    @F.arrow_udf("binary")
+    def made(x: pa.Array, y: pa.Array) -> pa.Array:
+        rec = np.zeros(len(x), np.dtype([("order", "u1"), ("kind", "<u4"), ("xy", "<f8", 2)]))
+        rec["order"], rec["kind"] = 1, 1
+        rec["xy"] = np.column_stack([x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)])
+        return pa.array([r.tobytes() for r in rec], pa.binary())
+
+    return made(x, y)
+
+
+def point_xy(geom: Column) -> tuple[Column, Column]:
+    """x and y of WKB points."""
+
+    @F.arrow_udf("array<double>")
+    def taken(geom: pa.Array) -> pa.Array:
+        xy = np.frombuffer(b"".join(g[5:21] for g in geom.to_pylist()), "<f8")
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(xy) + 1, 2, dtype=np.int32)), pa.array(xy))
+
+    both = taken(geom)
+    return both[0].alias("x"), both[1].alias("y")
+
+
+def rings_of(wkb: bytes) -> list[np.ndarray]:
+    """All rings (n, 2) of a multipolygon's polygons, outer ones before their holes."""
+    (n,), at, out = struct.unpack_from("<I", wkb, 5), 9, []
+    for _ in range(n):
+        (k,) = struct.unpack_from("<I", wkb, at + 5)
+        at += 9
+        for _ in range(k):
+            (m,) = struct.unpack_from("<I", wkb, at)
+            out.append(np.frombuffer(wkb, "<f8", 2 * m, at + 4).reshape(-1, 2))
+            at += 4 + 16 * m
+    return out
+
+
+def _signed(ring: np.ndarray) -> float:
+    x, y = ring.T
+    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2)
+
+
+def shp(shapes: list[bytes]) -> tuple[bytes, bytes]:
+    """The .shp and .shx bytes of WKB points or multipolygons; outer rings run clockwise on the map, holes against it."""
+    kind, records, boxes = 1, [], []
+    for wkb in shapes:
+        if wkb[1] == 1:
+            xy = np.frombuffer(wkb, "<f8", 2, 5)
+            records.append(struct.pack("<i", 1) + xy.tobytes())
+            boxes.append((*xy, *xy))
+        else:
+            kind, rings = 5, rings_of(wkb)
+            hole = [i > 0 for k in _rings_a_polygon(wkb) for i in range(k)]
+            rings = [r[::-1] if (_signed(r) > 0) != h else r for r, h in zip(rings, hole, strict=True)]
+            every = np.concatenate(rings)
+            box = (*every.min(axis=0), *every.max(axis=0))
+            starts = np.cumsum([0, *map(len, rings)])
+            records.append(struct.pack("<i4d2i", 5, *box, len(rings), len(every)) + starts[:-1].astype("<i4").tobytes() + every.astype("<f8").tobytes())
+            boxes.append(box)
+    size = np.array([len(r) // 2 for r in records], np.int64)
+    at = 50 + np.cumsum(size + 4) - size - 4
+    b = np.array(boxes, float).reshape(-1, 4)
+    box = (*b[:, :2].min(axis=0), *b[:, 2:].max(axis=0)) if len(b) else (0.0,) * 4
 
     def head(words: int) -> bytes:
-        return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i4d4d", 1000, 1, *box, 0, 0, 0, 0)
+        return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i4d4d", 1000, kind, *box, 0, 0, 0, 0)
+
+    body = b"".join(struct.pack(">2i", i + 1, n) + r for i, (n, r) in enumerate(zip(size.tolist(), records, strict=True)))
+    index = np.column_stack([at, size]).astype(">i4").tobytes()
+    return head(50 + len(body) // 2) + body, head(50 + 4 * len(records)) + index
+
 
-    rec = np.zeros(n, np.dtype([("i", ">i4"), ("n", ">i4"), ("kind", "<i4"), ("xy", "<f8", 2)]))
-    rec["i"], rec["n"], rec["kind"], rec["xy"] = np.arange(1, n + 1), 10, 1, points
-    idx = np.zeros(n, np.dtype([("at", ">i4"), ("n", ">i4")]))
-    idx["at"], idx["n"] = 50 + 14 * np.arange(n), 10
-    return head(50 + 14 * n) + rec.tobytes(), head(50 + 4 * n) + idx.tobytes()
+def _rings_a_polygon(wkb: bytes) -> list[int]:
+    (n,), at, out = struct.unpack_from("<I", wkb, 5), 9, []
+    for _ in range(n):
+        (k,) = struct.unpack_from("<I", wkb, at + 5)
+        out.append(k)
+        at += 9
+        for _ in range(k):
+            at += 4 + 16 * struct.unpack_from("<I", wkb, at)[0]
+    return out
 
 
-def dbf(columns: dict[str, np.ndarray]) -> bytes:
-    """The .dbf bytes of whole-number columns, 18 digits wide."""
-    n = len(next(iter(columns.values())))
+def dbf(columns: dict[str, list]) -> bytes:
+    """The .dbf bytes of number columns, 18 digits wide; a fraction has six digits, a null is blank."""
+    n = len(next(iter(columns.values()))) if columns else 0
+    whole = {c: all(v is None or float(v).is_integer() for v in vs) for c, vs in columns.items()}
     out = [struct.pack("<4BIHH20x", 3, 124, 1, 1, n, 33 + 32 * len(columns), 1 + 18 * len(columns))]
-    out += [struct.pack("<11scI2B14x", name[:10].encode(), b"N", 0, 18, 0) for name in columns]
-    body = [b" " + b"".join(b"%18d" % int(v) for v in row) for row in zip(*columns.values(), strict=True)]
+    out += [struct.pack("<11scI2B14x", c[:10].encode(), b"N", 0, 18, 0 if whole[c] else 6) for c in columns]
+    text = lambda c, v: b" " * 18 if v is None else b"%18d" % int(v) if whole[c] else b"%18.6f" % v
+    body = [b" " + b"".join(text(c, v) for c, v in zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=True)]
     return b"".join([*out, b"\r", *body, b"\x1a"])
 
 
-def write_shapefile(points: DataFrame, path: str, attributes: tuple[str, ...] = ("top_id", "z"), mode: str = "overwrite") -> None:
-    """Points (x, y, attributes): a .shp, .shx and .dbf file for each partition, in folders of these names."""
+def write_shapefile(shapes: DataFrame, path: str, attributes: tuple[str, ...] = ("top_id", "z"), mode: str = "overwrite", prj: str = "") -> None:
+    """Shapes (geom as WKB, or x and y of points; attributes): a .shp, .shx and .dbf file for each partition with rows, in folders of these names; .prj if given."""
+    if "geom" not in shapes.columns:
+        shapes = shapes.withColumn("geom", point_wkb(F.col("x"), F.col("y")))
 
     def files(it):
-        got = pa.Table.from_batches(list(it))
-        xy = np.column_stack([got.column(c).to_numpy() for c in ("x", "y")])
-        parts = (*shp(xy), dbf({c: got.column(c).to_numpy() for c in attributes}))
-        yield pa.RecordBatch.from_arrays([pa.array(["shp", "shx", "dbf"]), pa.array(parts, pa.binary())], names=["part", "value"])
-
-    rows = points.select("x", "y", *attributes).mapInArrow(files, "part string, value binary")
+        got = [b for b in it if b.num_rows]
+        if got:
+            t = pa.Table.from_batches(got)
+            parts = [*shp(t.column("geom").to_pylist()), dbf({c: t.column(c).to_pylist() for c in attributes}), prj.encode()]
+            keep = 4 if prj else 3
+            yield pa.RecordBatch.from_arrays([pa.array(["shp", "shx", "dbf", "prj"][:keep]), pa.array(parts[:keep], pa.binary())], names=["part", "value"])
+
+    rows = shapes.select("geom", *attributes).mapInArrow(files, "part string, value binary")
     rows.select("part", F.col("value").cast("string")).write.mode(mode).partitionBy("part").option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+
+
+def read_shapefile(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
+    """Geometry (WKB) and attributes of the Shapefiles under path; names: Spark type of each attribute, in the files' order."""
+
+    def unpack(shp_: bytes, dbf_: bytes) -> list[tuple]:
+        (n,), (top, width) = struct.unpack_from("<I", dbf_, 4), struct.unpack_from("<HH", dbf_, 8)
+        rows, at = [], 100
+        for i in range(n):
+            words = struct.unpack_from(">i", shp_, at + 4)[0]
+            rec = shp_[at + 8 : at + 8 + 2 * words]
+            at += 8 + 2 * words
+            line = dbf_[top + width * i + 1 : top + width * (i + 1)]
+            values = [line[18 * k : 18 * k + 18].strip() for k in range(len(names))]
+            rows.append((_wkb(rec), *(None if not v else float(v) if kind == "double" else int(v) for v, kind in zip(values, names.values(), strict=True))))
+        return rows
+
+    schema = "geom binary, " + ", ".join(f"{c} {k}" for c, k in names.items())
+    kinds = [pa.binary(), *(pa.float64() if k == "double" else pa.int64() for k in names.values())]
+
+    def rows(t: pa.Table) -> pa.Table:
+        part = dict(zip(t.column("part").to_pylist(), t.column("content").to_pylist(), strict=True))
+        got = unpack(part["shp"], part["dbf"]) if {"shp", "dbf"} <= set(part) else []
+        return pa.table([pa.array(list(c), k) for c, k in zip(zip(*got, strict=True) if got else [[]] * len(kinds), kinds, strict=True)], names=["geom", *names])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
+    number = F.regexp_extract("path", "part-([0-9]+)-", 1)
+    return files.select(number.alias("n"), F.regexp_extract("path", "part=([a-z]+)", 1).alias("part"), "content").groupBy("n").applyInArrow(rows, schema)
+
+
+def _wkb(record: bytes) -> bytes:
+    """A record of a .shp file as WKB; a ring that runs clockwise begins a polygon."""
+    if struct.unpack_from("<i", record)[0] == 1:
+        return struct.pack("<BI", 1, 1) + record[4:20]
+    n, m = struct.unpack_from("<2i", record, 36)
+    starts = [*np.frombuffer(record, "<i4", n, 44).tolist(), m]
+    points = np.frombuffer(record, "<f8", 2 * m, 44 + 4 * n).reshape(-1, 2)
+    parts: list[list[np.ndarray]] = []
+    for i, j in zip(starts[:-1], starts[1:], strict=True):
+        ring = points[i:j]
+        if _signed(ring) < 0 or not parts:
+            parts.append([ring])
+        else:
+            parts[-1].append(ring)
+    out = [struct.pack("<BII", 1, 6, len(parts))]
+    for p in parts:
+        out.append(struct.pack("<BII", 1, 3, len(p)))
+        out += [struct.pack("<I", len(r)) + r.tobytes() for r in p]
+    return b"".join(out)
+
+
+def write(df: DataFrame, path: str, driver: str, table: str, bytes_a_record: int, limit: int = SHAPEFILE_LIMIT, prj: str = "", epsg: int | None = None, over: bool = False) -> tuple[str, str]:
+    """df (geom as WKB and attributes) by its driver; a Shapefile that would pass the limit becomes SQLite. over: an output before it did.
+
+    Gives path and driver as they came to be; the ending follows the driver.
+    """
+    if driver == "ESRI Shapefile" and (over or df.count() * bytes_a_record > limit):
+        driver, path = "SQLite", path.removesuffix(".shp") + ".sqlite"
+    if driver == "SQLite":
+        write_sqlite(df.withColumn("srid", F.lit(epsg).cast("long")) if epsg else df, path, table)
+    elif driver == "ESRI Shapefile":
+        write_shapefile(df, path, tuple(c for c in df.columns if c != "geom"), prj=prj)
+    else:
+        raise ValueError(f"no writer for {driver}")
+    return path, driver

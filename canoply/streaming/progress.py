@@ -5,6 +5,10 @@ The plans below work on a table of events; ``latest`` keeps the last state of ea
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,3 +32,29 @@ def latest(events: DataFrame) -> DataFrame:
     said = F.when(F.col("status") >= 0, F.col("seq"))
     told = F.when(F.coalesce("message", F.lit("")) != "", F.col("seq"))
     return events.groupBy("run").agg(F.max("seq").alias("seq"), F.coalesce(F.max_by("status", said), F.lit(0.0)).alias("status"), F.coalesce(F.max_by("message", told), F.lit("")).alias("message"))
+
+
+class Clock:
+    """Tells the seconds since its beginning, at once, with every tick, and at the end."""
+
+    def __init__(self, told: Callable[[float], None], tick: float = 1.0):
+        self.told, self.tick, self.ended = told, tick, threading.Event()
+        self.thread = threading.Thread(target=self._run, daemon=True)
+
+    def seconds(self) -> float:
+        return time.monotonic() - self.began
+
+    def _run(self) -> None:
+        while not self.ended.wait(self.tick):
+            self.told(self.seconds())
+
+    def __enter__(self) -> Clock:
+        self.began = time.monotonic()
+        self.told(0.0)
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.ended.set()
+        self.thread.join()
+        self.told(self.seconds())
