@@ -22,4 +22,5 @@ ORACLES = {
     "op5_embedding_dedup": embedding_dedup.OP5_SQL,
     "op8_chat": chat.OP8_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
+    "op10_suffix_dedup": suffix_dedup.OP10_SQL,
 }

@@ -43,11 +43,11 @@ def lean(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def save(df: DataFrame, tag: str, **options) -> DataFrame:
-    """Write df as a shared table and read it again: lineage ends, a lost executor costs nothing."""
-    path = new_path(df.sparkSession, tag)
+def save(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+    """Write df as a shared table (in a new folder unless one is named) and read it again: lineage ends, a lost executor costs nothing."""
+    path = path or new_path(df.sparkSession, tag)
     with lean(df.sparkSession):
-        df.write.option("compression", "zstd").options(**options).parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
