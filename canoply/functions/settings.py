@@ -15,14 +15,25 @@ KEYS = {
 INT, FLOAT = r"^\s*([+-]?\d+)", r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
+PAIR, LONGEST = r"([^:]*):([^\n]*)\n", 1023
+
+
 def parse(lines: DataFrame) -> DataFrame:
-    """(key, value) of lines (line_no, value): split at the first colon, the last line of a key wins.
+    """(key, value) of lines (line_no, value): a key runs to the next colon and its value to the end of that line; the last one of a key wins.
 
-    Lines without a colon and empty keys are skipped.
+    So a line without a colon becomes part of the key after it, and what follows the last value, if anything, is a key without a value; keys may be
+    empty. A field of more than LONGEST characters is cut there and ends the reading. A settings file is small and is read as one text.
     """
-    at = F.split("value", ":", 2)
-    pairs = lines.where(F.instr("value", ":") > 1).select("line_no", at[0].alias("key"), at[1].alias("value"))
-    return pairs.groupBy("key").agg(F.max_by("value", "line_no").alias("value"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("value", F.lit("")).alias("v")))), lambda x: F.concat(x["v"], F.lit("\n"))), "")
+    text = lines.agg(joined.alias("t"))
+    found = F.arrays_zip(F.regexp_extract_all("t", F.lit(PAIR), 1).alias("k"), F.regexp_extract_all("t", F.lit(PAIR), 2).alias("v"))
+    left = F.regexp_replace("t", PAIR, "")
+    rest = F.when(left != "", F.array(F.struct(left.alias("k"), F.lit("").alias("v")))).otherwise(F.array())
+    pairs = text.select(F.concat(found, rest).alias("p")).withColumn("long", F.transform("p", lambda x: (F.length(x["k"]) > LONGEST) | (F.length(x["v"]) > LONGEST)))
+    end = F.array_position("long", True)  # 0: none
+    pairs = pairs.select(F.posexplode(F.when(end > 0, F.slice("p", 1, end.cast("int"))).otherwise(F.col("p"))).alias("n", "x"))
+    value = F.when(F.length("x.k") > LONGEST, F.lit("")).otherwise(F.left("x.v", F.lit(LONGEST)))
+    return pairs.select("n", F.left("x.k", F.lit(LONGEST)).alias("key"), value.alias("value")).groupBy("key").agg(F.max_by("value", "n").alias("value"))
 
 
 def to_lines(pairs: DataFrame) -> DataFrame:
@@ -87,6 +98,7 @@ def default_outputs(path: Column, driver: Column, default: str = "GTiff") -> Col
 
 #: The drivers and the endings of their files.
 DRIVERS = (("GTiff", "raster", ("tif", "tiff")), ("HFA", "raster", ("img",)), ("ESRI Shapefile", "vector", ("shp",)), ("SQLite", "vector", ("sqlite",)), ("PNG", "raster", ("png",)), ("GeoJSON", "vector", ("json",)))
+#: The drivers that outputs may have.
 OFFERED = {"raster": ("GTiff", "HFA"), "vector": ("ESRI Shapefile", "SQLite")}
 
 

@@ -204,7 +204,13 @@ QUERIES = {f.__name__: f for f in (
 
 # The same in SQL.
 
-_LINES = "WITH l AS (" + fixtures.duck_sql(fixtures.LINES) + "), p AS (SELECT substr(value, 1, instr(value, ':') - 1) AS key, arg_max(substr(value, instr(value, ':') + 1), line_no) AS value FROM l WHERE instr(value, ':') > 1 GROUP BY 1)"
+_PAIR = "'([^:]*):([^\\n]*)\\n'"
+_LINES = f"""WITH l AS ({fixtures.duck_sql(fixtures.LINES)}), t AS (SELECT coalesce(string_agg(value || chr(10), '' ORDER BY line_no), '') AS t FROM l),
+  u AS (SELECT regexp_extract_all(t, {_PAIR}, 1) AS k, regexp_extract_all(t, {_PAIR}, 2) AS v, regexp_replace(t, {_PAIR}, '', 'g') AS rest FROM t),
+  o AS (SELECT CASE WHEN rest = '' THEN k ELSE list_append(k, rest) END AS k, CASE WHEN rest = '' THEN v ELSE list_append(v, '') END AS v FROM u),
+  q AS (SELECT unnest(k) AS key, unnest(v) AS value, unnest(range(1, len(k) + 1)) AS n FROM o),
+  p AS (SELECT left(key, 1023) AS key, arg_max(CASE WHEN length(key) > 1023 THEN '' ELSE left(value, 1023) END, n) AS value FROM q
+    WHERE n <= coalesce((SELECT min(n) FROM q WHERE length(key) > 1023 OR length(value) > 1023), n) GROUP BY 1)"""
 _T = "[{'threshold': x[2 * i + 1]::DOUBLE, 'window': x[2 * i + 2]::INTEGER} FOR i IN range(len(x) // 2)]"
 _C = "[{'threshold': y[3 * i + 1]::DOUBLE, 'fraction': y[3 * i + 2]::DOUBLE, 'radius': y[3 * i + 3]::DOUBLE} FOR i IN range(len(y) // 3)]"
 _LISTS = "WITH r AS (" + fixtures.duck_sql(fixtures.LISTS) + f"), z AS (SELECT *, string_split(tops, ',') AS x, string_split(crowns, ',') AS y FROM r), v AS (SELECT id, tops, crowns, {_T} AS t, {_C} AS c FROM z)"

@@ -14,7 +14,17 @@ def one(spark, *columns):
 
 def test_parse_takes_the_first_colon_and_the_last_line(spark):
     lines = spark.createDataFrame([(1, "a:1"), (2, "a:2:3"), (3, ":x"), (4, "none"), (5, "b:")], "line_no long, value string")
-    assert {(r.key, r.value) for r in settings.parse(lines).collect()} == {("a", "2:3"), ("b", "")}
+    assert {(r.key, r.value) for r in settings.parse(lines).collect()} == {("a", "2:3"), ("", "x"), ("none\nb", "")}
+
+
+def test_parse_ends_at_a_field_that_is_too_long(spark):
+    lines = spark.createDataFrame([(1, "a:1"), (2, "k" * 1024 + ":2"), (3, "b:3")], "line_no long, value string")
+    assert {(r.key, r.value) for r in settings.parse(lines).collect()} == {("a", "1"), ("k" * 1023, "")}
+    lines = spark.createDataFrame([(1, "a:" + "v" * 2000), (2, "b:3")], "line_no long, value string")
+    assert {(r.key, r.value) for r in settings.parse(lines).collect()} == {("a", "v" * 1023)}
+    lines = spark.createDataFrame([(1, "a:1"), (2, "end")], "line_no long, value string")
+    assert {(r.key, r.value) for r in settings.parse(lines).collect()} == {("a", "1"), ("end\n", "")}
+    assert settings.parse(lines.where("false")).count() == 0
 
 
 def test_round_trip_of_lines(spark):
