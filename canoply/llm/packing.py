@@ -1,29 +1,34 @@
-"""Best-fit packing with conflicts.
+"""Best-fit packing of token ids with conflicts.
 
-Documents longer than a bin are cut into full bins and a rest. Pieces are dealt into shards of bounded
-size by a hash; in a shard, pieces in descending size each go to the tightest open bin that fits and
+Documents are measured in token ids (the end id included) and cut into full bins and a rest where they are longer
+than a bin. Pieces are dealt into shards of bounded size by a hash of their place in the table, so that repeated rows
+spread; in a shard, pieces in descending size each go to the tightest open bin that fits and
 that holds neither a document of the same source nor one of the same duplicate cluster. Bins stand in
 lists by residual; a bit set of residuals in use gives the successor of a size, and the search goes on
 through successors until a bin is compatible. A bin carries a bitmap of its sources and one of its
 clusters; a residual keeps the intersection of its bins' source bitmaps, so that lists without any
 compatible bin are passed in one step.
 
-Only ids and sizes travel, never texts. The conflict over sources means that there are at least as many
-bins as pieces of the largest source in a shard; ``sources=False`` lifts it.
+To find bins, only places and sizes travel; ``sequences`` then brings the token ids of each bin together. The conflict
+over sources means that there are at least as many bins as pieces of the largest source in a shard;
+``sources=False`` lifts it.
 
-Defined cases: null and empty texts have size 0 and are packed (they need no room but conflict like
-others); null sources are one source; repeated rows are one cluster, so they never share a bin; ties
-are broken by doc_id, then by the number of the piece; an empty table gives an empty result.
+Defined cases: null and empty texts have the end id alone, conflict like others, and are in no cluster; null sources
+are one source; repeated rows are one cluster, so they never share a bin; ties are broken by doc_id, then by the
+number of the piece; ids may be of any type; very long texts become many pieces, which never share a bin; further
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import n_words, save, table, text_of
+from . import near_copies, token_files
+from .store import save, table
 
 CAPACITY, SHARD = 2048, 8192
 
@@ -81,12 +86,13 @@ def pieces(docs: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, sources: bool = True) -> DataFrame:
-    """doc_id, piece, n_tokens, bin_id, bin_start for each piece of docs (doc_id, source, cluster, size)."""
-    whole = save(pieces(docs, capacity), "pieces")
+    """doc_id, row, piece, n_tokens, bin_id, bin_start for each piece of docs (doc_id, row, source, cluster, size)."""
+    whole = save(pieces(docs.select("doc_id", "row", "source", "cluster", "size"), capacity).withColumn("_nth", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-whole.count() // shard))
-    dealt = whole.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "size", "cluster"), F.lit(shards))).select("_shard", "doc_id", "piece", "n_tokens", "source", "cluster")
-    dealt = dealt.repartition("_shard").sortWithinPartitions("_shard", F.desc("n_tokens"), "doc_id", "piece", "cluster", "source")
-    schema = "doc_id long, piece long, n_tokens long, bin_id long, bin_start long"
+    dealt = whole.withColumn("_shard", F.pmod(F.xxhash64("_nth"), F.lit(shards))).select("_shard", "doc_id", "row", "piece", "n_tokens", "source", "cluster")
+    dealt = dealt.repartition("_shard").sortWithinPartitions("_shard", F.desc("n_tokens"), "doc_id", "piece", "cluster", "source", "row")
+    zero = F.lit(0).cast("long")
+    schema = whole.select("doc_id", "row", "piece", "n_tokens", zero.alias("bin_id"), zero.alias("bin_start")).schema
 
     def packed(t: pa.Table) -> pa.RecordBatch:
         size = t.column("n_tokens").to_numpy()
@@ -101,8 +107,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, sources:
         new = np.r_[True, np.diff(bins[order]) != 0]
         start = np.empty(len(size), np.int64)
         start[order] = before - np.repeat(before[new], np.diff(np.r_[np.flatnonzero(new), len(size)]))
-        cols = [t.column("doc_id").combine_chunks(), t.column("piece").combine_chunks(), t.column("n_tokens").combine_chunks(), pa.array(bins + (t.column("_shard")[0].as_py() << 32)), pa.array(start)]
-        return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
+        cols = [*(t.column(c).combine_chunks() for c in ("doc_id", "row", "piece", "n_tokens")), pa.array(bins + (t.column("_shard")[0].as_py() << 32)), pa.array(start)]
+        return pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     def batches(it):
         held: list[pa.RecordBatch] = []
@@ -121,11 +127,44 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, sources:
     return dealt.mapInArrow(batches, schema)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, cluster, size: words and a hash of the words in lower case, which exact copies share."""
-    text = F.lower(F.trim(F.regexp_replace(text_of(F.col("text")), r"\s+", " ")))
-    return docs.select("doc_id", "source", F.when(n_words(F.col("text")) > 0, F.xxhash64(text)).alias("cluster"), n_words(F.col("text")).alias("size"))
+def measured(docs: DataFrame, tokenizer: str = token_files.TOKENIZER, end_id: int = token_files.END_ID) -> DataFrame:
+    """A saved table: doc_id, row, source, ids (bytes), size (of them) and cluster, a hash of the words in lower case that exact copies share."""
+    schema = docs.select("doc_id", "source", F.lit(None).cast("long").alias("cluster"), F.lit(0).cast("long").alias("size"), F.lit(b"").alias("ids")).schema
+
+    def batches(it):
+        code = token_files.encoder(tokenizer)
+        for b in it:
+            for lo in range(0, b.num_rows, token_files.DOCS_AT_ONCE):
+                part = b.slice(lo, token_files.DOCS_AT_ONCE)
+                ids, n = code.batch(part.column("text"), end_id)
+                words, sizes = near_copies.words_of(part.column("text"))
+                ends = np.cumsum(sizes).tolist()
+                cluster = [xxhash.xxh64_intdigest(words[j - k : j].tobytes()) for j, k in zip(ends, sizes.tolist(), strict=True)]
+                cluster = pa.array(np.array(cluster, np.uint64).view(np.int64), mask=sizes == 0)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), cluster, pa.array(n), token_files.as_bytes(ids, n)], names=schema.names)
+
+    return save(docs.select("doc_id", "source", "text").mapInArrow(batches, schema).withColumn("row", F.monotonically_increasing_id()), "measured")
+
+
+def sequences(packed: DataFrame, docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = token_files.TOKENIZER) -> DataFrame:
+    """A row for each bin of what pack() made of docs: bin_id, ids (the token ids of its pieces, one after the other), doc_ids and starts (of the pieces)."""
+    kind = token_files.encoder(tokenizer).kind
+    at = F.col("piece") * capacity * kind.itemsize + 1
+    cut = F.substring("ids", at.cast("int"), (F.col("n_tokens") * kind.itemsize).cast("int"))
+    own = packed.join(docs.select("row", "ids"), "row").select("bin_id", F.struct("bin_start", "n_tokens", "doc_id", cut.alias("ids")).alias("p"))
+    bins = own.groupBy("bin_id").agg(F.array_sort(F.collect_list("p")).alias("p"))  # a bin is bounded
+    bins = bins.select("bin_id", F.aggregate("p.ids", F.lit(b""), lambda a, b: F.concat(a, b)).alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.bin_start").alias("starts"))
+    schema = bins.withColumn("ids", F.array(F.lit(0))).schema
+
+    def batches(it):
+        for b in it:
+            data = b.column("ids")
+            ends = np.cumsum([0, *(len(x.as_buffer()) // kind.itemsize for x in data)]).astype(np.int32)
+            flat = np.frombuffer(b"".join(data.to_pylist()), kind).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("bin_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), b.column("doc_ids"), b.column("starts")], names=schema.names)
+
+    return bins.mapInArrow(batches, schema)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(measured(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return pack(measured(table(spark, sf_dir, "documents"))).drop("row")
