@@ -82,3 +82,4 @@ def test_no_similar_pair_is_ruled_out():
                 assert set(near_copies.prefix(x, often, np.arange(len(often)) + 1)) & set(near_copies.prefix(y, often, np.arange(len(often)) + 1))
                 sk = np.frombuffer(near_copies.sketch(x) + near_copies.sketch(y), np.uint64).reshape(2, -1)
                 assert near_copies.passing(np.array([len(x), len(y)]), sk, np.array([0]), np.array([1])).all()
+                assert near_copies.may_be_similar(near_copies.wide_sketch(x), near_copies.wide_sketch(y), len(x) + len(y))
