@@ -21,3 +21,8 @@ def clear(files: DataFrame) -> DataFrame:
 def replace(files: DataFrame, new: DataFrame) -> DataFrame:
     """The new list as it is, repeats and order kept."""
     return new.select("path")
+
+
+def read(files: DataFrame) -> DataFrame:
+    """The list as it stands."""
+    return files.select("path")

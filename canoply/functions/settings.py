@@ -71,6 +71,13 @@ def load(pairs: DataFrame, current: DataFrame) -> DataFrame:
     return current.join(new, "key", "left").select("key", got.alias("value"))
 
 
+def on_existing(pairs: DataFrame, current: DataFrame, defaults: DataFrame, choice: str) -> DataFrame:
+    """(key, value) after a settings file that exists was named: "open" loads it over current, "reset" leaves it aside for the defaults."""
+    if choice not in ("open", "reset"):
+        raise ValueError("the choice is open or reset")
+    return load(pairs, current) if choice == "open" else defaults.select("key", "value")
+
+
 def save(config: DataFrame) -> DataFrame:
     """Lines of a typed config (one column a key, one row or more): bools as 0/1, doubles with six decimals."""
 

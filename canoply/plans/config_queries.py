@@ -61,6 +61,16 @@ def settings_load(spark, sf_dir):
     return settings.load(said, current.select("key", "value"))
 
 
+def settings_on_existing(spark, sf_dir):
+    """Both choices, side by side."""
+    old = spark.createDataFrame([(k, f"old{i}") for i, k in enumerate(settings.KEYS)], "key string, value string")
+    new = spark.createDataFrame([(k, "") for k in settings.KEYS], "key string, value string")
+    named = spark.createDataFrame([(k, f"path{2 * i}") for i, k in enumerate(settings.KEYS)], "known string, key string")
+    pairs = _pairs(spark, sf_dir).join(named, "key").select(F.col("known").alias("key"), "value")
+    both = [settings.on_existing(pairs, old, new, choice).withColumn("choice", F.lit(choice)) for choice in ("open", "reset")]
+    return both[0].unionByName(both[1])
+
+
 def settings_save(spark, sf_dir):
     typed = fixtures.rows(spark, sf_dir, "SELECT c_custkey AS id, c_custkey % 2 = 0 AS doSmoothing, CAST(c_custkey % 9 AS INT) AS smoothWindowSize, c_acctbal AS smoothSigma, c_name AS originalCHM FROM customer")
     return settings.save(typed)
@@ -186,6 +196,10 @@ def filelist_clear(spark, sf_dir):
     return filelist.clear(_files(spark, sf_dir).select("path"))
 
 
+def filelist_read(spark, sf_dir):
+    return filelist.read(_files(spark, sf_dir))
+
+
 def filelist_set(spark, sf_dir):
     f = _files(spark, sf_dir)
     return filelist.replace(f.where("id % 2 = 0"), f.where("id % 3 = 0"))
@@ -196,9 +210,9 @@ def file_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    settings_parse, settings_format, settings_geti, settings_getf, settings_getb, settings_gets, settings_load, settings_save, thresholds_parse, thresholds_format, thresholds_valid_tops, thresholds_valid_crowns,
+    settings_parse, settings_format, settings_geti, settings_getf, settings_getb, settings_gets, settings_load, settings_on_existing, settings_save, thresholds_parse, thresholds_format, thresholds_valid_tops, thresholds_valid_crowns,
     thresholds_add, thresholds_delete, thresholds_update, thresholds_order, thresholds_sort, phase_dependency, option_enable, can_run, change_mask, driver_reset, default_outputs, last_dir, raster_drivers, vector_drivers,
-    progress_round, progress_ffill, message_ffill, strip_prefix, filelist_add, filelist_remove, filelist_clear, filelist_set, file_filter,
+    progress_round, progress_ffill, message_ffill, strip_prefix, filelist_add, filelist_remove, filelist_clear, filelist_set, filelist_read, file_filter,
 )}
 
 
@@ -237,6 +251,7 @@ ORACLES = {
     "settings_getb": f"{_LINES} SELECT key, substr(value, 1, 1) IN ('t', 'T', '1') AS b FROM p",
     "settings_gets": f"{_LINES} SELECT 'path' || i AS key, coalesce(value, 'none') AS s FROM range(60) x(i) LEFT JOIN p ON p.key = 'path' || i",
     "settings_load": f"{_LINES} SELECT k.key, CASE WHEN k.key = 'settingsFile' THEN 'old' || i WHEN k.key IN ('topsThresholds', 'crownsThresholds') THEN coalesce(p.value, '') ELSE coalesce(p.value, 'old' || i) END AS value FROM (VALUES {_KNOWN}) k(i, key) LEFT JOIN p ON p.key = 'path' || (i * 2)",
+    "settings_on_existing": f"{_LINES} SELECT *, 'open' AS choice FROM (SELECT k.key, CASE WHEN k.key = 'settingsFile' THEN 'old' || i WHEN k.key IN ('topsThresholds', 'crownsThresholds') THEN coalesce(p.value, '') ELSE coalesce(p.value, 'old' || i) END AS value FROM (VALUES {_KNOWN}) k(i, key) LEFT JOIN p ON p.key = 'path' || (i * 2)) UNION ALL SELECT key, '', 'reset' FROM (VALUES {_KNOWN}) k(i, key)",
     "settings_save": """SELECT c_custkey AS id, unnest(['originalCHM:' || c_name, 'doSmoothing:' || CASE WHEN c_custkey % 2 = 0 THEN '1' ELSE '0' END, 'smoothWindowSize:' || (c_custkey % 9),
       'smoothSigma:' || format('{:.6f}', c_acctbal)]) AS line FROM customer""",
     "thresholds_parse": _items("c", ("threshold", "fraction", "radius")),
@@ -267,6 +282,7 @@ ORACLES = {
     "filelist_add": f"{_FILES} SELECT DISTINCT path FROM f WHERE id % 2 = 0 OR id % 3 = 0",
     "filelist_remove": f"{_FILES} SELECT path FROM f WHERE path NOT IN (SELECT path FROM f WHERE id % 3 = 0)",
     "filelist_clear": f"{_FILES} SELECT path FROM f WHERE false",
+    "filelist_read": f"{_FILES} SELECT path FROM f",
     "filelist_set": f"{_FILES} SELECT path FROM f WHERE id % 3 = 0",
     "file_filter": f"{_FILES} SELECT id, CASE WHEN regexp_matches(path, '\\.(tif|tiff|dat)$') THEN 'raster' WHEN regexp_matches(path, '\\.(sqlite|shp)$') THEN 'vector' ELSE 'other' END AS kind FROM f",
 }
