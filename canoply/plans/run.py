@@ -7,6 +7,8 @@ job groups. ``run`` hands on tables in the shared folder of the cluster, ``run_f
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -44,10 +46,14 @@ def _nothing(*_) -> None:
 
 
 def shared(spark: SparkSession, tag: str) -> str:
-    """A new folder name where the cluster shares files."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new folder name where the cluster shares files; without spark.checkpoint.dir in a temporary one if Spark runs on this machine alone."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="canoply-")
+        sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/canoply-{tag}-{uuid.uuid4().hex}"
 
 
