@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save
+from .store import drop, save
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,8 +31,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     known = save(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     mark = known.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     while mark[0]:
-        known = save(_stars(known, large=False), "edges")
-        known = save(_stars(known, large=True), "edges")
+        half = save(_stars(known, large=False), "edges")
+        drop(known)
+        known = save(_stars(half, large=True), "edges")
+        drop(half)
         was, mark = mark, known.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == was:
             break

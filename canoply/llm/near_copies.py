@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components, rooted
 from .rolling import Roller, mix
-from .store import save
+from .store import drop, save
 
 SEED, SHINGLE, BITS, SAMPLE, OFTEN, ORDERED, SLOTS, BLOCK, CHUNK = 42, 5, 512, 10_000, 3, 1 << 17, 1 << 22, 1 << 18, 2000
 _SPAN, _WORD = 1 << 18, 1 << 14  # bytes hashed at once; longest word of the rolling hash
@@ -239,8 +239,8 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
-def neighbours(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that stand next to each other in a chunk of a list by size, and may be similar."""
+def neighbours(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that stand next to each other in a chunk of a list (h, _set, parts, own) by size, and may be similar."""
 
     def batches(it):
         held = None
@@ -253,14 +253,16 @@ def neighbours(lists: DataFrame) -> DataFrame:
             if len(i):
                 yield _pairs(s[i], s[i + 1])
 
-    return lists.repartition("h", "own").sortWithinPartitions("h", "own", "_n", "_set").mapInArrow(batches, "a long, b long").distinct()
+    return lists.join(classes.select("_set", "_n", "_sketch"), "_set").repartition("h", "own").sortWithinPartitions("h", "own", "_n", "_set").mapInArrow(batches, "a long, b long").distinct()
 
 
-def others(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that share a list, may be similar and have different _root."""
-    mixed = lists.groupBy("h").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).where("lo <> hi").select("h")
+def others(lists: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that share a list, may be similar and have different roots."""
+    rooted = save(lists.join(roots.toDF("_set", "_root"), "_set", "left").withColumn("_root", F.coalesce("_root", "_set")), "rooted")
+    mixed = rooted.groupBy("h").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).where("lo <> hi").select("h")
     dealt = (
-        lists.join(mixed, "h")
+        rooted.join(mixed, "h")
+        .join(classes.select("_set", "_n", "_sketch"), "_set")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "_set", "_n", "_sketch", "_root")
         .repartition("h", "lo", "hi")
@@ -323,8 +325,22 @@ def by_simhash(classes: DataFrame, search) -> DataFrame:
     return equal.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def wide_sketch(h: np.ndarray) -> bytes:
+    """A parity sketch of four bits a shingle or more, a power of two; the halves of one added mod 2 are the next smaller one."""
+    bits = 1 << min(20, max(9, (4 * len(h) - 1).bit_length()))
+    return np.packbits(np.bincount((h % _U(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def may_be_similar(x: bytes, y: bytes, sizes: int) -> bool:
+    """False only where wide sketches rule a similarity of 0.8 out."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return 9 * int(np.bitwise_count(a ^ b).sum(dtype=np.int64)) <= sizes
+
+
 def verified(pairs: DataFrame, known: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose whole shingle sets are similar."""
+    """The pairs whose whole shingle sets are similar. Wide sketches go first, so that few texts have to meet."""
     slot = F.pmod(F.xxhash64("_rid"), F.lit(SLOTS))
     wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct().join(classes.select("_set", "_first._rid"), "_set"), "wanted")
     marks = wanted.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()  # SLOTS bits at most
@@ -332,28 +348,37 @@ def verified(pairs: DataFrame, known: DataFrame, classes: DataFrame) -> DataFram
     for r in marks:
         bits[r.k] = np.frombuffer(bytes(r.bits), np.uint8)
 
-    def batches(it):  # few texts besides the wanted ones get past the bits
+    def marked(it):  # few texts besides the wanted ones get past the bits
         mark = np.unpackbits(bits.ravel(), bitorder="little")
         for b in it:
             yield b.filter(pa.array(mark[b.column("_at").to_numpy()] == 1))
 
-    def sets(it):
+    def sketches(it):
         for b in it:
-            made = [h.tobytes() for h in sets_of(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("_set"), pa.array(made, pa.binary())], names=["_set", "h"])
+            sets = sets_of(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("_set"), pa.array([len(h) for h in sets], pa.int64()), pa.array([wide_sketch(h) for h in sets], pa.binary())], names=["_set", "n", "w"])
 
-    place = F.bitmap_bucket_number(slot) * 32768 + F.bitmap_bit_position(slot)
-    some = known.select("_rid", "text", place.alias("_at"))
-    texts = some.mapInArrow(batches, some.schema).join(wanted, "_rid").select("_set", "text")
-    made = save(texts.mapInArrow(sets, "_set long, h binary"), "sets")
-    met = pairs.join(made.toDF("a", "ha"), "a").join(made.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
+    def sifted(it):
+        for b in it:
+            sizes = pc.add(b.column("na"), b.column("nb")).to_pylist()
+            ok = [may_be_similar(x, y, n) for x, y, n in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist(), sizes, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def judged(it):
         for b in it:
-            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column("ha"), b.column("hb"), strict=True)]
+            ok = [similar(x, y) for x, y in zip(sets_of(b.column("ta")), sets_of(b.column("tb")), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return met.mapInArrow(judged, "a long, b long")
+    place = F.bitmap_bucket_number(slot) * 32768 + F.bitmap_bit_position(slot)
+    some = known.select("_rid", "text", place.alias("_at"))
+    texts = save(some.mapInArrow(marked, some.schema).join(wanted, "_rid").select("_set", "text"), "texts")
+    wide = save(texts.mapInArrow(sketches, "_set long, n long, w binary"), "sketches")
+    met = pairs.join(wide.toDF("a", "na", "wa"), "a").join(wide.toDF("b", "nb", "wb"), "b").select("a", "b", "na", "nb", "wa", "wb")
+    left = save(met.mapInArrow(sifted, "a long, b long"), "sifted")
+    met = left.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    found = save(met.mapInArrow(judged, "a long, b long"), "links")
+    drop(wanted, texts, wide, left)
+    return found
 
 
 def firsts(docs: DataFrame, value, search) -> tuple[DataFrame, DataFrame]:
@@ -367,12 +392,12 @@ def firsts(docs: DataFrame, value, search) -> tuple[DataFrame, DataFrame]:
     classes = save(known.groupBy("_set").agg(F.min("_value").alias("_first"), F.first("_n").alias("_n"), F.first("_fp").alias("_fp"), F.first("_sketch").alias("_sketch")), "classes")
     shared = save(postings(known, often, count, max(1, rows // SAMPLE)), "shared")
     sizes = shared.groupBy("h").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    lists = shared.join(sizes, "h").join(classes.select("_set", "_n", "_sketch"), "_set")
-    lists = save(lists.withColumn("own", F.pmod(F.xxhash64("_set"), F.col("parts")).cast("int")), "lists")
-    pairs = save(by_simhash(classes, search).unionByName(neighbours(lists)).distinct(), "pairs")
-    edges = save(verified(pairs, known, classes), "links")
+    lists = save(shared.join(sizes, "h").withColumn("own", F.pmod(F.xxhash64("_set"), F.col("parts")).cast("int")), "lists")
+    drop(shared)
+    pairs = save(by_simhash(classes, search).unionByName(neighbours(lists, classes)).distinct(), "pairs")
+    edges = verified(pairs, known, classes)
     roots = save(components(edges), "roots")
-    rest = lists.join(roots.toDF("_set", "_root"), "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
-    rest = save(others(rest).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = save(verified(rest, known, classes), "links")
+    rest = save(others(lists, roots, classes).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    drop(lists, roots, pairs)
+    more = verified(rest, known, classes)
     return known, rooted(classes, edges.unionByName(more), "_set", "_first").select("component").distinct()

@@ -9,8 +9,8 @@ counter advance the distances of 64 lanes, and a query's lanes are abandoned onc
 Buckets over a tile are cut into chunks that meet pairwise in tasks of their own.
 
 Defined cases: null and empty texts and texts of white space have fingerprint zero and link like any
-other; repeated rows share a class; null ids are ignored as smallest id unless a component has no
-other; an empty table gives an empty result.
+other; very long texts are hashed whole; repeated rows share a class; null ids are ignored as smallest id
+unless a component has no other; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from . import near_copies
 from .components import forest, rooted
 from .store import save, shielded, table
 
-SEED, SHINGLE, RADIUS, TILE, CHUNK = 42, 3, 3, 512, 1500
+SEED, SHINGLE, RADIUS, TILE, CHUNK, HELD = 42, 3, 3, 512, 1500, 1 << 18
 
 
 def fingerprint(text: str | None, n: int = SHINGLE, seed: int = SEED) -> int:
@@ -137,11 +137,7 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
         .sortWithinPartitions("t", "key", "lo", "hi", "c")
     )
 
-    def batches(it):
-        got = [b for b in it if b.num_rows]
-        if not got:
-            return
-        all_ = pa.Table.from_batches(got)
+    def met(all_: pa.Table):
         t, key, lo, hi, c = (all_.column(x).to_numpy() for x in ("t", "key", "lo", "hi", "c"))
         fp = all_.column("_fp").to_numpy().view(np.uint64)
         new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
@@ -175,6 +171,28 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
             a, b = forest(a.view(np.int64), b.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    def batches(it):
+        """Whole buckets, HELD rows or so at a time."""
+        held, rows = [], 0
+        for b in it:
+            if not b.num_rows:
+                continue
+            names = ("t", "key", "lo", "hi")
+            if rows >= HELD:
+                before, own = ({c: x.column(c).to_numpy() for c in names} for x in (held[-1], b))
+                differs = np.zeros(b.num_rows, bool)
+                for c in names:
+                    differs |= np.diff(own[c], prepend=before[c][-1]) != 0
+                cut = np.flatnonzero(differs)
+                if len(cut):
+                    held.append(b.slice(0, int(cut[-1])))
+                    yield from met(pa.Table.from_batches(held))
+                    held, rows, b = [], 0, b.slice(int(cut[-1]))
+            held.append(b)
+            rows += b.num_rows
+        if held:
+            yield from met(pa.Table.from_batches(held))
+
     return dealt.mapInArrow(batches, "a long, b long")
 
 
