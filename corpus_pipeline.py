@@ -2,6 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last
 return the columns of documents; the last returns the bins.
+
+Defined cases of every stage: an empty table gives an empty one; further columns of docs are kept as they are, whatever their
+names (the last stage drops them); null and empty texts, very long texts, ties and repeated rows are what the docstring of
+the stage's operator says, and in short:
+
+* quality_classifier: null texts count as empty ones; without any label nothing is rejected.
+* simhash: null and empty texts and texts of white space are copies of each other; null ids come last.
+* suffix_dedup: null texts become empty; repeated rows lose all that is as long as a match.
+* mixing: null and empty texts follow the whole epochs of their source; null sources are one source.
+* packing: null and empty texts have the end id alone; repeated rows never share a bin.
 """
 
 from __future__ import annotations
@@ -34,15 +44,14 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document."""
     docs, undo = shielded(docs, ("doc_id", "source", "text"))
-    keyed = mixing.keyed(docs)
-    narrow = save(keyed.select("doc_id", "source", "_mix_size", "_mix_key"), "mix-keys")
-    mixed = mixing.mix(keyed, mixing.cuts(narrow))
+    keyed = save(mixing.keyed(docs), "mix-keys")
+    mixed = mixing.mix(keyed, mixing.cuts(keyed))
     return mixed.where("_mix_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*undo)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document: its bin and its place there."""
-    return packing.pack(packing.measured(docs))
+    return packing.pack(packing.measured(docs)).drop("row")
 
 
 STAGES = [
@@ -53,7 +62,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Classifier, XXH64 majority bits and best-fit bins aren't SQL; tests compare with brute force.
+#: Random Fourier features, isotonic steps and best-fit bins aren't SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
