@@ -554,15 +554,15 @@ def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT rid, unnest(range(length(h) // 2 - 199)) AS i, h FROM d WHERE length(h) >= 400),
-s AS (SELECT rid, i, hash(substr(h, 2 * i + 1, 400)) AS k FROM w),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, unnest(range(octet_length(b) - 199)) AS i, b FROM d WHERE octet_length(b) >= 200),
+s AS (SELECT rid, i, hash(array_slice(b, i + 1, i + 200)) AS k FROM w),
 m AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS n FROM s) WHERE n > 1),
-b AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM m),
-g AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS island FROM b),
+f AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM m),
+g AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS island FROM f),
 r AS (SELECT rid, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY rid, island),
-p AS (SELECT r.rid, lo, hi, substr(h, 2 * coalesce(lag(hi) OVER (PARTITION BY r.rid ORDER BY lo), 0) + 1, 2 * (lo - coalesce(lag(hi) OVER (PARTITION BY r.rid ORDER BY lo), 0))) AS kept FROM r JOIN d USING (rid)),
-a AS (SELECT rid, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(kept, '' ORDER BY lo) AS kept FROM p GROUP BY rid)
-SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN a USING (rid)
+q AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) AS before FROM r),
+a AS (SELECT rid, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(CASE WHEN lo > before THEN hex(array_slice(b, before + 1, lo)) ELSE '' END, '' ORDER BY lo) AS kept FROM q JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || CASE WHEN octet_length(b) > coalesce(last, 0) THEN hex(array_slice(b, coalesce(last, 0) + 1, octet_length(b))) ELSE '' END)) AS kept_sha256 FROM d LEFT JOIN a USING (rid)
 """
