@@ -32,7 +32,7 @@ from .components import components, rooted
 from .rolling import Roller, mix
 from .store import drop, save
 
-SEED, SHINGLE, BITS, SAMPLE, OFTEN, ORDERED, SLOTS, BLOCK, CHUNK = 42, 5, 512, 10_000, 3, 1 << 17, 1 << 22, 1 << 18, 2000
+SEED, SHINGLE, BITS, SAMPLE, OFTEN, ORDERED, SLOTS, BLOCK, CHUNK, PAIRS = 42, 5, 512, 10_000, 3, 1 << 17, 1 << 22, 1 << 18, 2000, 1 << 18
 _SPAN, _WORD = 1 << 18, 1 << 14  # bytes hashed at once; longest word of the rolling hash
 _U = np.uint64
 _SEEN = 1 << 20
@@ -259,14 +259,14 @@ def neighbours(lists: DataFrame, classes: DataFrame) -> DataFrame:
 def others(lists: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes that share a list, may be similar and have different roots."""
     rooted = save(lists.join(roots.toDF("_set", "_root"), "_set", "left").withColumn("_root", F.coalesce("_root", "_set")), "rooted")
-    mixed = rooted.groupBy("h").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).where("lo <> hi").select("h")
+    mixed = rooted.groupBy("h").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi"), F.min("_set").alias("head")).where("lo <> hi").select("h", "head")
     dealt = (
         rooted.join(mixed, "h")
         .join(classes.select("_set", "_n", "_sketch"), "_set")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "_set", "_n", "_sketch", "_root")
-        .repartition("h", "lo", "hi")
-        .sortWithinPartitions("h", "lo", "hi", "own", "_n", "_set")
+        .select("head", "h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "_set", "_n", "_sketch", "_root")
+        .repartition("head", "lo", "hi")  # lists of the same classes mostly begin with the same one: their pairs meet in one task, which tells each once
+        .sortWithinPartitions("head", "lo", "hi", "h", "own", "_n", "_set")
     )
 
     def met(t: pa.Table):
@@ -295,7 +295,8 @@ def others(lists: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
                 if ok.any():
                     yield _pairs(s[i[ok]], s[j[ok]])
 
-    def batches(it):
+    def tables(it):
+        """Whole groups."""
         held: list[pa.RecordBatch] = []
         for b in it:
             if not b.num_rows:
@@ -304,14 +305,26 @@ def others(lists: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
             cut = np.flatnonzero((h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
             cut = int(cut[-1]) + 1 if len(cut) else 0  # the last group may go on
             if cut:
-                yield from met(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                yield pa.Table.from_batches([*held, b.slice(0, cut)])
                 held = []
             elif held and any(held[-1].column(c)[0].as_py() != b.column(c)[0].as_py() for c in ("h", "lo", "hi")):
-                yield from met(pa.Table.from_batches(held))
+                yield pa.Table.from_batches(held)
                 held = []
             held.append(b.slice(cut))
         if held:
-            yield from met(pa.Table.from_batches(held))
+            yield pa.Table.from_batches(held)
+
+    def batches(it):
+        found = np.empty((2, 0), np.int64)
+        for t in tables(it):
+            new = [np.stack([p.column("a").to_numpy(), p.column("b").to_numpy()]) for p in met(t)]
+            if new:
+                found = np.unique(np.concatenate([found, *new], axis=1), axis=1)
+                if found.shape[1] > PAIRS:
+                    yield _pairs(found[0], found[1])
+                    found = found[:, :0]
+        if found.shape[1]:
+            yield _pairs(found[0], found[1])
 
     return dealt.mapInArrow(batches, "a long, b long").distinct()
 
