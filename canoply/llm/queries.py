@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, embedding_dedup, merkle, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, warc
+from . import chat, decontamination, embedding_dedup, merkle, mixing, packing, quality_classifier, quality_rules, simhash, spelling, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_spelling": spelling.op11_spelling,
     "op12_decontamination": decontamination.op12_decontamination,
     "op13_merkle": merkle.op13_merkle,
 }
@@ -25,6 +26,7 @@ ORACLES = {
     "op8_chat": chat.OP8_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
     "op10_suffix_dedup": suffix_dedup.OP10_SQL,
+    "op11_spelling": spelling.OP11_SQL,
     "op12_decontamination": decontamination.OP12_SQL,
     "op13_merkle": merkle.OP13_SQL,
 }
