@@ -80,8 +80,12 @@ def fingerprints(words: Column, span: int = SPAN, k: int = K) -> Column:
 def sent(words: Column, short: list[int], span: int = SPAN, k: int = K) -> Column:
     """What a document sends: its fingerprints; then for each length in short every gram. Place p is word p % n of part p / n."""
     own = fingerprints(words, span, k)
-    parts = [F.transform(grams(words, m), lambda h, i, m=m: F.when(i <= F.size(words) - m, h)) for m in short]
-    return F.concat(own, *parts) if parts else own
+
+
+    def whole(m: int) -> Column:
+        return F.transform(grams(words, m), lambda h, i: F.when(i <= F.size(words) - m, h))
+
+    return F.concat(own, *map(whole, short)) if short else own
 
 
 class Items:

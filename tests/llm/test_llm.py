@@ -47,6 +47,8 @@ def odd(tmp_path_factory):
     pq.write_table(pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32())), "label": pa.array([r[2] for r in rows], pa.int32())}), base / "embeddings.parquet")
     pages = [(1, "u", "abc"), (2, None, "abc"), (3, "x\r\ny", None), (4, "z", ""), (5, "é", "日本\r\n\r\nWARC/1.0\r\nx"), (6, "q", "abc"), (7, "r", "long" * 20_000), (8, None, "long" * 20_000)]
     pq.write_table(pa.table({"page_id": pa.array([p[0] for p in pages], pa.int64()), "url": [p[1] for p in pages], "html": [p[2] for p in pages]}), base / "pages.parquet")
+    items = [(1, " ".join(docs[5][1].split()[3:16])), (1, "other words that are nowhere"), (2, None), (3, ""), (4, "!"), (None, "Tree  CROWN"), (5, "ring"), (6, text(rng, 9)), (7, docs[7][1]), (7, docs[7][1]), (8, long[:50_000]), (9, "ONE two")]
+    pq.write_table(pa.table({"item_id": pa.array([i[0] for i in items], pa.int64()), "text": [i[1] for i in items]}), base / "benchmark.parquet")
     turns = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "bot", "yo"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (3, 2, "user", "more"), (4, 2, "user", "more"), (4, 1, "bot", "yo"), (4, 0, "user", "hi"), (5, 0, None, None), (6, None, "user", "x"), (6, 0, "user", "y"), (7, 0, "user", "h"), (7, 0, "user", "h")]
     pq.write_table(pa.table({"conv_id": pa.array([t[0] for t in turns], pa.int64()), "turn": pa.array([t[1] for t in turns], pa.int64()), "role": [t[2] for t in turns], "text": [t[3] for t in turns]}), base / "conversations.parquet")
     return str(base)
@@ -55,7 +57,7 @@ def odd(tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(tmp_path_factory, odd):
     base = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "labels", "embeddings", "pages", "conversations"):
+    for name in ("documents", "labels", "embeddings", "pages", "conversations", "benchmark"):
         pq.write_table(pq.read_table(f"{odd}/{name}.parquet").slice(0, 0), base / f"{name}.parquet")
     return str(base)
 
@@ -85,7 +87,7 @@ def test_empty_tables(spark, empty, name):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in entry.queries()} and "pipeline" in entry.queries()
+    assert {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in entry.queries()} and "pipeline" in entry.queries()
 
 
 def test_mix_meets_targets(spark, data):

@@ -190,14 +190,14 @@ def test_pack_repeated_rows_and_other_ids(spark):
     assert len(got) == 503 and max(collections.Counter(r.bin_id >> 32 for r in got).values()) < 80
 
 
-CLASHES = ("_w", "_l", "_upper", "_stats", "_copy", "_mix_size", "_mix_key", "_mix_row", "_mix_copies", "_set", "_n", "_fp", "_rid", "_value", "_sketch", "_posts", "component", "row", "piece", "cluster", "ids", "cid", "docs", "part", "g", "kept", "score", "n_removed", "_col0", "_payload", "_digest", "_refers", "_first", "_label", "vector", "count", "n_copies")
+CLASHES = ("_w", "_l", "_upper", "_stats", "_copy", "_mix_size", "_mix_key", "_mix_row", "_mix_copies", "_set", "_n", "_fp", "_rid", "_value", "_sketch", "_posts", "component", "row", "piece", "cluster", "ids", "cid", "docs", "part", "g", "kept", "score", "n_removed", "_col0", "_payload", "_digest", "_refers", "_first", "_label", "vector", "count", "n_copies", "node", "tampered", "w", "_at", "_key", "n_words", "hits", "id", "word")
 
 
 @pytest.fixture(scope="module")
 def clashing(spark, odd, tmp_path_factory):  # noqa: F811
     """The odd tables with further columns under the operators' working names."""
     base = tmp_path_factory.mktemp("clash")
-    for name in ("documents", "labels", "embeddings", "pages", "conversations"):
+    for name in ("documents", "labels", "embeddings", "pages", "conversations", "benchmark"):
         t = pq.read_table(f"{odd}/{name}.parquet")
         for k, c in enumerate(CLASHES):
             if c not in t.column_names:
