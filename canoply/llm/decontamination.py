@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import let, save, shielded, table, text_of
+from .store import SIFTED, let, save, shielded, table, text_of
 
 SPAN, K = 10, 8
 #: What stands between words of lower-cased texts, and of others.
@@ -122,12 +122,12 @@ def shared_spans(docs: DataFrame, items: Items) -> DataFrame:
     hits = save(places.join(items.keys, "hash").groupBy("key").agg(F.collect_set("p").alias("hits")), "hits")
     p, n, last = F.col("p"), F.size("w"), F.size("w") - items.span
     spans = F.array(F.lit(items.span), *map(F.lit, items.short))
-    texts = docs.join(hits, "key").select("key", words_of(F.col("text")).alias("w"), "hits")
+    texts = docs.join(hits.where("size(hits) > 0"), "key").select("key", words_of(F.col("text")).alias("w"), "hits")
     reach = F.transform("hits", lambda x: F.when(x < n, F.sequence(x, F.least(x + (items.span - items.k), last))).otherwise(F.array(x)))
     starts = texts.select("key", "w", F.array_distinct(F.flatten(reach)).alias("starts")).select("key", "w", F.explode_outer("starts").alias("p"))
     size = F.get(spans, F.floor(p / n).cast("int"))
     spans_at = starts.select("key", (p % n).alias("start"), size.alias("n"), F.array_join(F.slice("w", p % n + 1, size), " ").alias("words"))
-    return save(spans_at.distinct().join(items.spans, "words").select("key", "start", "n", "span_id"), "shared")
+    return save(spans_at.distinct().join(items.spans, "words").select("key", "start", "n", "span_id"), "shared", more=SIFTED)
 
 
 def _union(spans: Column) -> Column:

@@ -35,12 +35,17 @@ def new_path(spark: SparkSession, tag: str) -> str:
 LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
+#: For a join of many large rows with the few that match: Spark filters the large side by a Bloom filter of the other's keys, at any size.
+SIFTED = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+
+
 @contextmanager
-def lean(spark: SparkSession) -> Iterator[None]:
-    """LEAN holds inside."""
-    was = {k: spark.conf.get(k, None) for k in LEAN}
+def lean(spark: SparkSession, more: dict[str, str] = {}) -> Iterator[None]:
+    """LEAN and more hold inside."""
+    held = LEAN | more
+    was = {k: spark.conf.get(k, None) for k in held}
     try:
-        for k, v in LEAN.items():
+        for k, v in held.items():
             spark.conf.set(k, v)
         yield
     finally:
@@ -48,10 +53,10 @@ def lean(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def save(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
-    """Write df as a shared table (in a new folder unless one is named) and read it again: lineage ends, a lost executor costs nothing."""
+def save(df: DataFrame, tag: str, path: str | None = None, more: dict[str, str] = {}) -> DataFrame:
+    """Write df as a shared table (in a new folder unless one is named) under the settings more, and read it again: lineage ends, a lost executor costs nothing."""
     path = path or new_path(df.sparkSession, tag)
-    with lean(df.sparkSession):
+    with lean(df.sparkSession, more):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
