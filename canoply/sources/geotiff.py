@@ -1,170 +1,25 @@
-"""GeoTIFF as Spark tables of cells: strips or tiles; plain, LZW or Deflate, with predictors; classic and big files.
+"""GeoTIFF as Spark tables of cells.
 
 A raster is written as a mosaic: one file for each tile, so no task holds more than one tile. Files are raw
 bytes that Spark's text writer puts down, on any file system and under its commit protocol (the byte after the
-last strip is no part of the image). Files are read as binary rows. Cells are numbered from the coordinate origin,
-so the tiles of a mosaic fit together; what is left of a cell at the corner is in the Georef.
+last strip is no part of the image). Files are read by ranges of their blocks (``blocks``), so their size doesn't matter.
+Cells are numbered from the coordinate origin, so the tiles of a mosaic fit together; what is left of a cell at the
+corner is in the Georef.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.grid import BandError, Georef
-
-NODATA = -9999
-#: Fixed values of the TIFF format: sample format and bits of each pixel type; bytes and struct codes of each field type.
-KINDS = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
-_FIELDS = {1: (1, "B"), 2: (1, ""), 3: (2, "H"), 4: (4, "I"), 5: (8, ""), 6: (1, "b"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
-PLAIN, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
-
-
-@dataclass(frozen=True)
-class Raster:
-    values: np.ndarray
-    nodata: float | None
-    row0: int
-    col0: int
-    geo: Georef
-
-
-def encode(values: np.ndarray, row0: int = 0, col0: int = 0, geo: Georef = Georef(), compression: int = DEFLATE) -> bytes:
-    """A little-endian TIFF of one strip, with the place of its upper left corner."""
-    kind = next(k for k, v in KINDS.items() if np.dtype(v) == values.dtype.newbyteorder("="))
-    h, w = values.shape
-    strip = values.astype(values.dtype.newbyteorder("<")).tobytes()
-    strip = zlib.compress(strip, 6) if compression == DEFLATE else strip
-    shorts = {258: [kind[1]], 259: [compression], 262: [1], 277: [1], 339: [kind[0]]} | ({34735: [*geo.keys]} if geo.keys else {})
-    longs = {256: [w], 257: [h], 273: [0], 278: [h], 279: [len(strip)]}
-    doubles = {33550: [geo.width, geo.height, 0.0], 33922: [0.0, 0.0, 0.0, geo.x + col0 * geo.width, geo.y - row0 * geo.height, 0.0]} | ({34736: [*geo.doubles]} if geo.doubles else {})
-    texts = {42113: str(NODATA)} | ({34737: geo.names} if geo.names else {})
-    fields = [(t, 3, len(v), struct.pack(f"<{len(v)}H", *v)) for t, v in shorts.items()] + [(t, 4, len(v), struct.pack(f"<{len(v)}I", *v)) for t, v in longs.items()]
-    fields += [(t, 12, len(v), struct.pack(f"<{len(v)}d", *v)) for t, v in doubles.items()] + [(t, 2, len(v) + 1, v.encode() + b"\0") for t, v in texts.items()]
-    fields.sort()
-    at, extra, entries = 8 + 2 + 12 * len(fields) + 4, [], []
-    for tag, type_, n, data in fields:
-        place = data.ljust(4, b"\0")
-        if len(data) > 4:
-            place = struct.pack("<I", at)
-            extra.append(data + b"\0" * (len(data) & 1))
-            at += len(extra[-1])
-        entries.append([tag, struct.pack("<HHI", tag, type_, n), place])
-    next(e for e in entries if e[0] == 273)[2] = struct.pack("<I", at)
-    return b"".join([b"II*\0", struct.pack("<IH", 8, len(fields)), *(x for e in entries for x in e[1:]), b"\0" * 4, *extra, strip])
-
-
-def fields(data: bytes) -> tuple[str, dict[int, tuple | bytes]]:
-    """Byte order and the fields of the first directory."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    version = struct.unpack_from(order + "H", data, 2)[0] if order else 0
-    if version not in (42, 43):
-        raise ValueError("not a TIFF file")
-    word, count, entry, top = ("I", "H", 12, 4) if version == 42 else ("Q", "Q", 20, 8)
-    (at,) = struct.unpack_from(order + word, data, top)
-    (n_fields,) = struct.unpack_from(order + count, data, at)
-    found: dict[int, tuple | bytes] = {}
-    for i in range(n_fields):
-        here = at + struct.calcsize(count) + entry * i
-        tag, type_, n = struct.unpack_from(order + "HH" + word, data, here)
-        size, code = _FIELDS.get(type_, (1, ""))
-        here += 4 + struct.calcsize(word)
-        if size * n > struct.calcsize(word):
-            (here,) = struct.unpack_from(order + word, data, here)
-        raw = data[here : here + size * n]
-        found[tag] = struct.unpack(order + code * n, raw) if code else raw
-    return order, found
-
-
-def unlzw(data: bytes) -> bytes:
-    """TIFF's LZW: codes of 9 to 12 bits, the highest bit first; 256 clears the table, 257 ends."""
-    table, out, bits, held, width, last = [bytes([i]) for i in range(256)] + [b"", b""], [], 0, 0, 9, None
-    for byte in data:
-        held, bits = held << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code, held = held >> bits, held & ((1 << bits) - 1)
-        if code == 257:
-            break
-        if code == 256:
-            del table[258:]
-            width, last = 9, None
-            continue
-        if last is None:
-            word = table[code]
-        else:
-            word = table[code] if code < len(table) else last + last[:1]
-            table.append(last + word[:1])
-        out.append(word)
-        last = word
-        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
-    return b"".join(out)
-
-
-def _block(raw: bytes, compression: int, predictor: int, shape: tuple[int, int, int], kind: np.dtype) -> np.ndarray:
-    """A strip or tile of (rows, columns, samples)."""
-    if compression in (DEFLATE, OLD_DEFLATE):
-        raw = zlib.decompress(raw)
-    elif compression == LZW:
-        raw = unlzw(raw)
-    elif compression != PLAIN:
-        raise ValueError(f"compression {compression} is not read")
-    h, w, n = shape
-    raw = raw[: h * w * n * kind.itemsize]
-    if predictor == 3:  # bytes of floats, highest first, apart and differenced
-        planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(h, -1, n), axis=1, dtype=np.uint8).reshape(h, kind.itemsize, w * n)
-        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(shape)
-    values = np.frombuffer(raw, kind).reshape(shape)
-    return np.cumsum(values.astype(kind.newbyteorder("=")), axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else values
+from ..operators.grid import Georef
+from . import blocks
+from .blocks import Window
+from .tiff import DEFLATE, NODATA, PLAIN, Raster, decode, encode, fields, raster, unlzw
 
-
-def georef(tags: dict) -> tuple[Georef, int, int]:
-    """Where the grid lies, and row and column of the upper left corner in it."""
-    width, height = tags.get(33550, (1.0, 1.0))[:2]
-    tie = tags.get(33922, (0.0,) * 6)
-    x, y = tie[3] - tie[0] * width, tie[4] + tie[1] * height
-    col0, row0 = int(np.floor(x / width + 1e-6)), int(np.floor(-y / height + 1e-6))
-    near = lambda v: 0.0 if abs(v) < 1e-6 else v
-    names = tags.get(34737, b"")
-    return Georef(near(x - col0 * width), near(y + row0 * height), width, height, tags.get(34735, ()), tags.get(34736, ()), names.rstrip(b"\0").decode("latin-1")), row0, col0
-
-
-def decode(data: bytes, band: int = 1) -> tuple[np.ndarray, float | None, int, int]:
-    """Values of a band, nodata, and the row and column of the upper left corner."""
-    got = raster(data, band)
-    return got.values, got.nodata, got.row0, got.col0
-
-
-def raster(data: bytes, band: int = 1) -> Raster:
-    """One band of a file."""
-    order, tags = fields(data)
-    one = lambda tag, default: tags.get(tag, (default,))[0]
-    w, h, bands = one(256, 0), one(257, 0), one(277, 1)
-    if not 1 <= band <= bands:
-        raise BandError(f"no band {band}: the file has {bands}")
-    kind = np.dtype(KINDS[one(339, 1), one(258, 8)]).newbyteorder(order)
-    apart = one(284, 1) == 2
-    tiled = 322 in tags
-    bw, bh = (one(322, w), one(323, h)) if tiled else (w, min(one(278, h), h))
-    offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-    across, down = -(-w // bw), -(-h // bh)
-    values = np.zeros((h, w), kind.newbyteorder("="))
-    for i in range(across * down):
-        at = i + (band - 1) * across * down if apart else i
-        r, c = i // across * bh, i % across * bw
-        rows = bh if tiled else min(bh, h - r)  # the last strip is shorter
-        block = _block(data[offsets[at] : offsets[at] + sizes[at]], one(259, 1), one(317, 1), (rows, bw, 1 if apart else bands), kind)
-        values[r : r + bh, c : c + bw] = block[: h - r, : w - c, 0 if apart else band - 1]
-    nodata = float(tags[42113].rstrip(b"\0 ")) if 42113 in tags else None
-    geo, row0, col0 = georef(tags)
-    return Raster(values, nodata, row0, col0, geo)
+__all__ = ["DEFLATE", "NODATA", "PLAIN", "Raster", "Window", "decode", "encode", "fields", "heights", "placed", "raster", "read", "unlzw", "write"]
 
 
 def write(cells: DataFrame, path: str, name: str, kind: str = "f4", tile: int = 512, mode: str = "overwrite", geo: Georef = Georef(), compression: int = DEFLATE) -> None:
@@ -181,46 +36,19 @@ def write(cells: DataFrame, path: str, name: str, kind: str = "f4", tile: int =
     raw.write.mode(mode).option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).where("length > 0").select("content")
-
+def read(spark: SparkSession, path: str, band: int = 1, window: Window = Window(), task_bytes: int = blocks.TASK_BYTES) -> DataFrame:
+    """(row, col, value double) of all files under path; nodata cells are missing. Of a window only the blocks that it meets are read."""
+    return blocks.table(spark, path, "cells", band, task_bytes, window)
 
-def read(spark: SparkSession, path: str, band: int = 1) -> DataFrame:
-    """(row, col, value double) of all files under path; nodata cells are missing."""
 
-    def cells(it):
-        for b in it:
-            for x in b.column("content"):
-                got = raster(bytes(x.as_buffer()), band)
-                values = got.values.astype(np.float64)
-                there = ~np.isnan(values)
-                if got.nodata is not None:  # as the file's pixel type has it
-                    there &= values != float(np.array(got.nodata).astype(got.values.dtype))
-                r, c = np.nonzero(there)
-                for i in range(0, len(r), 1 << 18):
-                    at = slice(i, i + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(r[at] + got.row0), pa.array(c[at] + got.col0), pa.array(values[r[at], c[at]])], names=["row", "col", "value"])
-
-    return _files(spark, path).mapInArrow(cells, "row long, col long, value double")
-
-
-def heights(spark: SparkSession, path: str, band: int = 1, name: str = "z") -> DataFrame:
+def heights(spark: SparkSession, path: str, band: int = 1, name: str = "z", window: Window = Window()) -> DataFrame:
     """(row, col, name): metres of a raster as whole millimetres."""
-    return read(spark, path, band).select("row", "col", F.round(F.col("value") * 1000).cast("long").alias(name))
+    return read(spark, path, band, window).select("row", "col", F.round(F.col("value") * 1000).cast("long").alias(name))
 
 
 def placed(spark: SparkSession, path: str) -> Georef:
-    """Where the grid of the files under path lies; they must agree."""
-
-    def heads(it):
-        for b in it:
-            for x in b.column("content"):
-                geo = georef(fields(bytes(x.as_buffer()))[1])[0]
-                yield pa.RecordBatch.from_pylist([{**vars(geo), "keys": list(geo.keys), "doubles": list(geo.doubles)}], schema)
-
-    d, s = pa.float64(), pa.string()
-    schema = pa.schema([("x", d), ("y", d), ("width", d), ("height", d), ("keys", pa.list_(pa.int64())), ("doubles", pa.list_(d)), ("names", s)])
-    found = _files(spark, path).mapInArrow(heads, "x double, y double, width double, height double, keys array<long>, doubles array<double>, names string").distinct().take(2)
+    """Where the grid of the files under path lies; they must agree. Only the heads of the files are read."""
+    found = blocks.table(spark, path, "place").distinct().take(2)
     if len(found) > 1:
         raise ValueError("the files of a mosaic lie on different grids")
     return Georef(*(tuple(v) if isinstance(v, list) else v for v in found[0])) if found else Georef()
