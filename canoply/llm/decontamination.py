@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import SIFTED, let, save, shielded, table, text_of
+from .store import let, save, shielded, sifted, table, text_of
 
 SPAN, K = 10, 8
 #: What stands between words of lower-cased texts, and of others.
@@ -127,7 +127,7 @@ def shared_spans(docs: DataFrame, items: Items) -> DataFrame:
     starts = texts.select("key", "w", F.array_distinct(F.flatten(reach)).alias("starts")).select("key", "w", F.explode_outer("starts").alias("p"))
     size = F.get(spans, F.floor(p / n).cast("int"))
     spans_at = starts.select("key", (p % n).alias("start"), size.alias("n"), F.array_join(F.slice("w", p % n + 1, size), " ").alias("words"))
-    return save(spans_at.distinct().join(items.spans, "words").select("key", "start", "n", "span_id"), "shared", more=SIFTED)
+    return save(spans_at.distinct().join(items.spans, "words").select("key", "start", "n", "span_id"), "shared", more=sifted(hits.count()))
 
 
 def _union(spans: Column) -> Column:

@@ -35,8 +35,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
 LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
-#: For a join of many large rows with the few that match: Spark filters the large side by a Bloom filter of the other's keys, at any size.
-SIFTED = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+def sifted(n: int) -> dict[str, str]:
+    """Settings for a join of many large rows with the few that match n keys: Spark filters the large side by a Bloom filter of the keys, at any size of the table, with about ten bits a key."""
+    name, bits = "spark.sql.optimizer.runtime.bloomFilter", min(max(1 << 13, 10 * n), 1 << 27)
+    sizes = {"expectedNumItems": max(n, 1), "maxNumItems": max(n, 4_000_000), "numBits": bits, "maxNumBits": max(bits, 1 << 26)}
+    return {f"{name}.enabled": "true", f"{name}.applicationSideScanSizeThreshold": "0"} | {f"{name}.{k}": str(v) for k, v in sizes.items()}
 
 
 @contextmanager
