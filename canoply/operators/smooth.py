@@ -1,20 +1,22 @@
 """Gaussian smoothing in fixed point.
 
-The kernel is separable, so a cell is dealt out along its row, added up, and then along its column:
-two aggregations with map-side combine, each of window rows a cell instead of window squared. Weights
-are whole numbers, and the result is renormalised over the cells that exist.
+Cells are dealt to tiles with a halo of half a window, one shuffle whatever the window; a tile adds weighted rows and
+then columns of its small array, as the kernel is separable. Weights are whole numbers, and the result is renormalised
+over the cells that exist.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grid import known
+from .grid import known, tiled
 
-UNIT = 4096
+UNIT, TILE = 4096, 256
 
 
 def kernel(window: int, sigma: float) -> list[tuple[int, int]]:
@@ -30,17 +32,40 @@ def kernel(window: int, sigma: float) -> list[tuple[int, int]]:
     return [(d, w) for d, w in found if w]
 
 
-def gaussian(cells: DataFrame, window: int = 3, sigma: float = 0.8) -> DataFrame:
+def _along(a: np.ndarray, weights: list[tuple[int, int]]) -> np.ndarray:
+    """Weighted sums of rows of a; beyond the edge there is nothing."""
+    out = np.zeros_like(a)
+    for d, w in weights:
+        if d < 0:
+            out[-d:] += w * a[:d]
+        else:
+            out[: len(a) - d] += w * a[d:]
+    return out
+
+
+def gaussian(cells: DataFrame, window: int = 3, sigma: float = 0.8, tile: int = TILE) -> DataFrame:
     """(row, col, z, zs) for each cell of (row, col, z); a null z is nodata, and of doubled cells the greatest z counts."""
-    k = F.array(*(F.struct(F.lit(d).cast("long").alias("d"), F.lit(w).cast("long").alias("w")) for d, w in kernel(window, sigma)))
+    weights = kernel(window, sigma)
+    halo = max(abs(d) for d, _ in weights)
+    tile = max(tile, 2 * halo)
 
-    def along(df: DataFrame, axis: str) -> DataFrame:
-        other = "row" if axis == "col" else "col"
-        dealt = df.withColumn("k", F.explode(k)).select(other, (F.col(axis) + F.col("k.d")).alias(axis), *((F.col(x) * F.col("k.w")).alias(x) for x in ("num", "den")), F.when(F.col("k.d") == 0, F.col("own")).alias("own"))
-        return dealt.groupBy("row", "col").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.max("own").alias("own"))
+    def smoothed(t: pa.Table) -> pa.Table:
+        r0, c0 = (t.column(c)[0].as_py() * tile - halo for c in ("tile_row", "tile_col"))
+        row, col, z = (t.column(c).to_numpy() for c in ("row", "col", "z"))
+        side = tile + 2 * halo
+        height, there = np.full((side, side), np.iinfo(np.int64).min), np.zeros((side, side), np.int64)
+        np.maximum.at(height, (row - r0, col - c0), z)
+        there[row - r0, col - c0] = 1
+        own = there.astype(bool)
+        height[~own] = 0
+        num, den = (_along(_along(a, weights)[halo : halo + tile].T, weights)[halo : halo + tile].T for a in (height, there))
+        r, c = np.nonzero(own[halo : halo + tile, halo : halo + tile])
+        n, d = num[r, c], den[r, c]
+        zs = np.where(n < 0, -(-n // d), n // d)  # towards zero
+        return pa.table({"row": r + r0 + halo, "col": c + c0 + halo, "z": height[r + halo, c + halo], "zs": zs})
 
-    first = known(cells).groupBy("row", "col").agg(F.max("z").alias("z")).select("row", "col", F.col("z").alias("num"), F.lit(1).cast("long").alias("den"), F.col("z").alias("own"))
-    return along(along(first, "col"), "row").where("own is not null").select("row", "col", F.col("own").alias("z"), F.expr("num div den").alias("zs"))
+    dealt = tiled(known(cells).select(*(F.col(c).cast("long").alias(c) for c in ("row", "col", "z"))), tile, halo)
+    return dealt.groupBy("tile_row", "tile_col").applyInArrow(smoothed, "row long, col long, z long, zs long")
 
 
 def phase(chm: DataFrame, existing: DataFrame | None, do_smoothing: bool, window: int = 3, sigma: float = 0.8) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .grid import Frame, bounds, dense, known, tiled
+from . import grid
+from .grid import Frame, dense, known, tiled
 
 #: (threshold in mm, window)
 CLASSES = ((5000, 3), (12000, 5), (20000, 7))
@@ -37,20 +38,20 @@ def height_class(cells: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES,
 
 def windows(cells: DataFrame, sizes: Sequence[int], on: str = "z") -> DataFrame:
     """The dense frame with top_<w> and n_<w>: greatest value and number of cells in the w x w window."""
-    grid = dense(cells)
+    full = dense(cells)
 
     def frame(part: str, order: str, w: int):
         return W.partitionBy(part).orderBy(order).rangeBetween(-(w // 2), w // 2)
 
     sizes = sorted(set(sizes))
-    grid = grid.select("*", *(F.max(on).over(frame("row", "col", w)).alias(f"top_{w}") for w in sizes), *(F.count(on).over(frame("row", "col", w)).alias(f"n_{w}") for w in sizes))
-    kept = [c for c in grid.columns if not c.startswith(("top_", "n_"))]
-    return grid.select(*kept, *(F.max(f"top_{w}").over(frame("col", "row", w)).alias(f"top_{w}") for w in sizes), *(F.sum(f"n_{w}").over(frame("col", "row", w)).alias(f"n_{w}") for w in sizes))
+    full = full.select("*", *(F.max(on).over(frame("row", "col", w)).alias(f"top_{w}") for w in sizes), *(F.count(on).over(frame("row", "col", w)).alias(f"n_{w}") for w in sizes))
+    kept = [c for c in full.columns if not c.startswith(("top_", "n_"))]
+    return full.select(*kept, *(F.max(f"top_{w}").over(frame("col", "row", w)).alias(f"top_{w}") for w in sizes), *(F.sum(f"n_{w}").over(frame("col", "row", w)).alias(f"n_{w}") for w in sizes))
 
 
-def _slide(a: np.ndarray, w: int, join) -> np.ndarray:
-    """join over the w x w window around each cell of a; beyond the edge there is nothing."""
-    for axis in (0, 1):
+def _slide(a: np.ndarray, w: int, join, axes: tuple[int, ...] = (0, 1)) -> np.ndarray:
+    """join over the w x w window around each cell of a, or along some axes; beyond the edge there is nothing."""
+    for axis in axes:
         a = np.moveaxis(a, axis, 0)
         out = a.copy()
         for d in range(1, w // 2 + 1):
@@ -60,19 +61,35 @@ def _slide(a: np.ndarray, w: int, join) -> np.ndarray:
     return a
 
 
-def candidates(cells: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES, max_nulls: float | None = None, on: str = "z", tile: int = TILE, frame: Frame | None = None) -> DataFrame:
+def _earlier(a: np.ndarray, w: int) -> np.ndarray:
+    """The greatest of a among the places of the w x w window that come before its centre, row by row."""
+    out, rows = np.full_like(a, np.iinfo(np.int64).min), _slide(a, w, np.maximum, (1,))
+    for d in range(1, w // 2 + 1):
+        np.maximum(out[d:], rows[:-d], out=out[d:])
+        np.maximum(out[:, d:], a[:, :-d], out=out[:, d:])
+    return out
+
+
+def candidates(cells: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES, max_nulls: float | None = None, on: str = "z", tile: int = TILE, frame: Frame | None = None, settled: bool = False) -> DataFrame:
     """Cells that no cell of their class window exceeds, with window and n, the number of cells there.
 
     With a limit on nulls also cells and nulls: the window's places in the raster's frame (looked up unless it is given),
-    and how many of them are empty. A null height is nodata; of doubled cells the highest counts.
+    and how many of them are empty. A null height is nodata; of doubled cells the highest counts. settled: of candidates of equal height the
+    one with the lowest (row, col) stays, judged by the loser's window; a tile then has a halo of two half windows, so that it knows
+    the candidates around its own.
     """
     cells = known(cells, on)
-    halo = max(w for _, w in classes) // 2
+    if max_nulls is not None and frame is None:
+        frame = grid.frame(cells) or Frame(0, 0, 0, 0)
+    half = max(w for _, w in classes) // 2
+    halo = 2 * half if settled else half
     tile = max(tile, 2 * halo)
     limits = np.array([t for t, _ in sorted(classes)])
     sizes = np.array([w for _, w in sorted(classes)], np.int64)
-    names = [*cells.columns, "window", "n"]
-    schema = cells.select("*", F.lit(0).cast("long").alias("window"), F.lit(0).cast("long").alias("n")).schema
+    limit = None if max_nulls is None else round(max_nulls * 1_000_000)
+    more = ["window", "n"] + ([] if limit is None else ["cells", "nulls"])
+    names = [*cells.columns, *more]
+    schema = cells.select("*", *(F.lit(0).cast("long").alias(c) for c in more)).schema
 
     def find(t: pa.Table) -> pa.Table:
         r0, c0 = (t.column(c)[0].as_py() * tile - halo for c in ("tile_row", "tile_col"))
@@ -86,28 +103,37 @@ def candidates(cells: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES, m
         there = np.zeros(height.shape, np.int64)
         height[row, col], there[row, col] = z, 1
         kind = np.searchsorted(limits, z, "right") - 1
-        own = (kind >= 0) & (row >= halo) & (col >= halo) & (row < halo + tile) & (col < halo + tile)
+        rim = halo - half if settled else halo  # candidates are looked for up to here
+        seen = (kind >= 0) & (row >= rim) & (col >= rim) & (row < tile + 2 * halo - rim) & (col < tile + 2 * halo - rim)
         found, n = np.zeros(len(z), bool), np.zeros(len(z), np.int64)
         for w in np.unique(sizes).tolist():
-            at = np.flatnonzero(own & (sizes[kind] == w))
+            at = np.flatnonzero(seen & (sizes[kind] == w))
             at = at[_slide(height, w, np.maximum)[row[at], col[at]] == z[at]]
             found[at] = True
             n[at] = _slide(there, w, np.add)[row[at], col[at]]
-        some = t.filter(pa.array(found))
-        return pa.table([*(some.column(c) for c in names[:-2]), pa.array(sizes[kind[found]]), pa.array(n[found])], names=names)
-
-    found = tiled(cells, tile, halo).groupBy("tile_row", "tile_col").applyInArrow(find, schema)
-    if max_nulls is None:
-        return found
-    r, limit = F.expr("window div 2"), round(max_nulls * 1_000_000)
-    framed = found.crossJoin(F.broadcast(bounds(cells))) if frame is None else found.withColumns({k: F.lit(v).cast("long") for k, v in vars(frame).items()})
-    inside = (F.least(F.col("row") + r, "r_hi") - F.greatest(F.col("row") - r, "r_lo") + 1) * (F.least(F.col("col") + r, "c_hi") - F.greatest(F.col("col") - r, "c_lo") + 1)
-    framed = framed.withColumn("cells", inside).withColumn("nulls", F.col("cells") - F.col("n"))
-    return framed.where(F.col("nulls") * 1_000_000 <= limit * F.col("cells")).select(*names, "cells", "nulls")
+        r = sizes[kind] // 2
+        if limit is not None:
+            y, x = row + r0, col + c0
+            places = (np.minimum(y + r, frame.r_hi) - np.maximum(y - r, frame.r_lo) + 1) * (np.minimum(x + r, frame.c_hi) - np.maximum(x - r, frame.c_lo) + 1)
+            found &= (places - n) * 1_000_000 <= limit * places
+        if settled:
+            rivals = np.full(height.shape, np.iinfo(np.int64).min)
+            rivals[row[found], col[found]] = z[found]
+            for w in np.unique(sizes).tolist():
+                at = np.flatnonzero(found & (sizes[kind] == w))
+                found[at] = _earlier(rivals, w)[row[at], col[at]] != z[at]
+        found &= (row >= halo) & (col >= halo) & (row < halo + tile) & (col < halo + tile)
+        some, extra = t.filter(pa.array(found)), [sizes[kind[found]], n[found]]
+        if limit is not None:
+            extra += [places[found], places[found] - n[found]]
+        return pa.table([*(some.column(c) for c in cells_names), *map(pa.array, extra)], names=names)
+
+    cells_names = cells.columns
+    return tiled(cells, tile, halo).groupBy("tile_row", "tile_col").applyInArrow(find, schema)
 
 
 def break_ties(found: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES, on: str = "z") -> DataFrame:
-    """Of candidates of equal height the one with the lowest (row, col) stays, judged by the loser's window.
+    """Of candidates of equal height the one with the lowest (row, col) stays, judged by the loser's window: for candidates that come from elsewhere and as a cross-check, as ``candidates`` settles its own.
 
     Rivals meet by height and by square of the largest window, so no height gathers all its cells.
     """
@@ -144,5 +170,5 @@ def n_cols(cells: DataFrame) -> DataFrame:
 
 def tops(cells: DataFrame, classes: Sequence[tuple[int, int]] = CLASSES, max_nulls: float | None = 0.2, on: str = "z", frame: Frame | None = None) -> DataFrame:
     """Tops of cells; with the frame of the raster at hand, cells are planned once."""
-    found = break_ties(candidates(cells, classes, max_nulls, on, frame=frame), classes, on)
+    found = candidates(cells, classes, max_nulls, on, frame=frame, settled=True)
     return points(found, n_cols(cells) if frame is None else frame.c_hi + 1)

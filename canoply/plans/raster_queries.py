@@ -62,7 +62,7 @@ def tops_local_max(spark, sf_dir):
 
 
 def tops_plateau(spark, sf_dir):
-    return tops.break_ties(tops.candidates(_metres(spark, sf_dir), METRES), METRES).select("row", "col", "z")
+    return tops.candidates(_metres(spark, sf_dir), METRES, settled=True).select("row", "col", "z")
 
 
 def tops_max_nulls(spark, sf_dir):

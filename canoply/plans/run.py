@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.config import Config
 from ..operators import crowns, grid, polygons, smooth, tops
-from ..sources import geotiff, vector
+from ..sources import crs, geotiff, vector
 from ..streaming.progress import Clock
 
 #: Bytes of a crown polygon's record in a Shapefile, by its rings; and of the columns beside it.
@@ -82,15 +82,18 @@ def find(config: Config, heights: DataFrame, frame: grid.Frame | None) -> DataFr
     return tops.tops(heights, [(_mm(t), w) for t, w in config.top_thresholds], config.max_nulls, on="zs", frame=frame)
 
 
-def grown(config: Config, heights: DataFrame, found: DataFrame) -> DataFrame:
-    classes = [(_mm(t), round(f * 100), r) for t, f, r in config.crown_thresholds]
+def grown(config: Config, heights: DataFrame, found: DataFrame, geo: grid.Georef = grid.Georef()) -> DataFrame:
+    """Crowns; the radii of config are in the units of the map, and cells must be square there."""
+    if abs(abs(geo.width) - abs(geo.height)) > 1e-6 * abs(geo.width):
+        raise ValueError("a radius needs square cells")
+    classes = [(_mm(t), round(f * 100), r / abs(geo.width)) for t, f, r in config.crown_thresholds]
     return crowns.crowns(heights, found, classes, config.remove_dangles, on="zs")
 
 
 def run(config: Config, chm: DataFrame, smoothed: DataFrame | None = None, found: DataFrame | None = None, cancelled: Callable[[], bool] = lambda: False, told: Callable[[float, str], None] = _nothing) -> Result:
     """The results of config on chm (row, col, z in mm, and band if there are several).
 
-    smoothed and found are what earlier runs made, for phases that are off. Thresholds are in metres.
+    smoothed and found are what earlier runs made, for phases that are off. Thresholds are in metres, radii in cells.
     """
     config.check()
     chm = grid.known(grid.scan(chm, config.band))
@@ -134,7 +137,7 @@ def read_tops(spark: SparkSession, config: Config) -> DataFrame:
 def run_files(spark: SparkSession, config: Config, cancelled: Callable[[], bool] = lambda: False, told: Callable[[float, str], None] = _nothing, clock: Callable[[float], None] = _nothing, limit: int = vector.SHAPEFILE_LIMIT) -> Config:
     """A run from the canopy heights that config names to the files it names; gives config with the outputs as they came to be.
 
-    Rasters are GeoTIFF mosaics in metres, a folder each; databases hold geometry on the map. A Shapefile that would pass the
+    Rasters are GeoTIFF mosaics in metres, a folder each; databases hold geometry on the map, and radii are in its units. A Shapefile that would pass the
     limit becomes SQLite, and if tops do, so do crowns. clock is told the seconds since the beginning, every second.
     """
     config.check_files()
@@ -157,7 +160,7 @@ def run_files(spark: SparkSession, config: Config, cancelled: Callable[[], bool]
             phases.after("tops found")
         if config.do_crowns:
             found = read_tops(spark, config)
-            owned = kept(grown(config, heights, found), "crowns")
+            owned = kept(grown(config, heights, found, geo), "crowns")
             numbers = kept(crowns.numbered(owned), "numbers")
             raster = owned.join(numbers, "crown_id").select("row", "col", "crown_no")
             _write_raster(raster, "crown_no", "i4", config.crowns_raster, config.crowns_raster_driver, geo)
@@ -167,7 +170,7 @@ def run_files(spark: SparkSession, config: Config, cancelled: Callable[[], bool]
             if config.polygons:
                 shapes = polygons.with_attributes(polygons.polygons(owned, config.remove_holes, geo=geo).join(numbers, "crown_id"), found.select("top_id", F.col("z").alias("top_z")))
                 columns = ["crown_id", "crown_no", "n_parts", "n_holes", "area", "perimeter", "top_z", "geom"]
-                path, driver = vector.write(kept(shapes.select(columns), "shapes"), config.crowns, config.crowns_driver, "crowns", CROWN_RECORD, limit, epsg=geo.epsg, over=over)
+                path, driver = vector.write(kept(shapes.select(columns), "shapes"), config.crowns, config.crowns_driver, "crowns", CROWN_RECORD, limit, crs.prj(geo), geo.epsg, over)
                 config = replace(config, crowns=path, crowns_driver=driver)
             phases.after("crowns grown")
     return config
@@ -178,5 +181,5 @@ def _write_tops(config: Config, found: DataFrame, geo: grid.Georef, limit: int)
     zs = F.col("zs") if "zs" in found.columns else F.lit(None).cast("long").alias("zs")
     placed = geo.place(found)
     made = placed.select("top_id", "row", "col", "z", zs, vector.point_wkb(F.col("x"), F.col("y")).alias("geom"))
-    path, driver = vector.write(made, config.tops, config.tops_driver, "tops", vector.POINT_RECORD, limit, epsg=geo.epsg)
+    path, driver = vector.write(made, config.tops, config.tops_driver, "tops", vector.POINT_RECORD, limit, crs.prj(geo), geo.epsg)
     return replace(config, tops=path, tops_driver=driver), driver != config.tops_driver

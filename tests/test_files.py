@@ -143,7 +143,7 @@ def test_run_over_files(spark, data, tmp_path, driver, limit):
     base = f"file://{tmp_path}"
     geotiff.write(grid.to_float(chm, "z"), f"{base}/chm", "z", tile=40, geo=GEO)
     end = ".shp" if driver != "SQLite" else ".sqlite"
-    config = replace(FULL, original=f"{base}/chm", smoothed=f"{base}/smoothed", tops=f"{base}/tops{end}", tops_driver=driver, crowns_raster=f"{base}/raster", crowns=f"{base}/crowns{end}", crowns_driver=driver)
+    config = replace(FULL, original=f"{base}/chm", smoothed=f"{base}/smoothed", tops=f"{base}/tops{end}", tops_driver=driver, crowns_raster=f"{base}/raster", crowns=f"{base}/crowns{end}", crowns_driver=driver, crown_thresholds=((5.0, 0.5, 6.0),))  # three cells of two
     told, ticks = [], []
     done = run_files(spark, config, told=lambda s, m: told.append((round(s, 2), m)), clock=ticks.append, limit=limit)
     assert told == [(0.33, "smoothed"), (0.67, "tops found"), (1.0, "crowns grown")] and ticks[0] == 0 and ticks == sorted(ticks) and ticks[-1] > 1
@@ -160,6 +160,9 @@ def test_run_over_files(spark, data, tmp_path, driver, limit):
         assert db.execute("SELECT min(srid), max(srid) FROM crowns").fetchone() == (32610, 32610)
     else:
         got = vector.read_shapefile(spark, done.crowns, names)
+        for folder in (done.tops, done.crowns):
+            parts = [f.read_text() for f in (tmp_path / folder.rpartition("/")[2] / "part=prj").glob("part*")]
+            assert parts and all(x.startswith('PROJCS["WGS_1984_UTM_Zone_10N"') and '"Central_Meridian",-123.0' in x for x in parts)
     rows = got.collect()
     assert {r.crown_id: (r.area, r.top_z) for r in rows} == areas
     numbers = {r.crown_id: r.crown_no for r in rows}
@@ -183,3 +186,28 @@ def test_crowns_of_an_earlier_run(spark, data, tmp_path):
     run_files(spark, replace(config, do_smoothing=False, do_crowns=False))
     run_files(spark, replace(config, do_smoothing=False, do_tops=False))
     assert vector.read_sqlite(spark, config.crowns, "crowns", "crown_id long").count() > 50
+
+
+def test_crowns_are_as_large_on_any_cells(spark, tmp_path):
+    """The same cone on cells of 1 and of 0.5: a radius of 5 gives the same area but for the cells on its rim."""
+    areas = []
+    for size in (1.0, 0.5):
+        n = round(20 / size)
+        cells = spark.createDataFrame([(r, c, round(20_000 - 1000 * size * float(np.hypot(r - n // 2, c - n // 2)))) for r in range(n + 1) for c in range(n + 1)], "row long, col long, z long")
+        base = f"file://{tmp_path}/{size}"
+        geotiff.write(grid.to_float(cells, "z"), f"{base}/chm", "z", geo=grid.Georef(0.0, 0.0, size, size))
+        config = replace(FULL, original=f"{base}/chm", smoothed=f"{base}/s", tops=f"{base}/t", crowns_raster=f"{base}/r", crowns=f"{base}/c", top_thresholds=((5.0, 3),), crown_thresholds=((5.0, 0.1, 5.0),), max_nulls=1.0)
+        done = run_files(spark, config)
+        areas.append(vector.read_sqlite(spark, done.crowns, "crowns", "area double").first().area)
+    assert all(abs(a - np.pi * 25) < 5 for a in areas)
+    with pytest.raises(ValueError, match="square"):
+        from canoply.plans.run import grown
+
+        grown(FULL, cells, cells, grid.Georef(0.0, 0.0, 1.0, 2.0))
+
+
+def test_prj_of_other_systems():
+    from canoply.sources import crs
+
+    assert crs.prj(grid.Georef()) == "" and crs.wkt(4326).startswith('GEOGCS["GCS_WGS_1984"') and "10000000.0" in crs.wkt(32719)
+    assert crs.wkt(3005).startswith('LOCAL_CS["EPSG:3005"') and crs.prj(grid.Georef(keys=(1, 1, 0, 1, 3072, 0, 1, 32767), names="My grid|")) == 'LOCAL_CS["My grid",UNIT["Meter",1.0]]'

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from canoply.operators import crowns, grid, polygons, smooth, tops
 from canoply.plans import fixtures
@@ -135,3 +138,64 @@ def test_vector_files(spark, tmp_path):
     (file,) = (tmp_path / "s/part=shp").glob("part*")
     head = file.read_bytes()
     assert int.from_bytes(head[:4], "big") == 9994 and len(head) == 100 + 2 * 28 + 1
+
+
+def plain_grow(mask, seeds, corners):
+    steps = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if corners else [])
+    out, todo = np.zeros_like(mask), [p for p in zip(*np.nonzero(mask & seeds))]
+    for p in todo:
+        out[p] = True
+    while todo:
+        y, x = todo.pop()
+        for dy, dx in steps:
+            p = y + dy, x + dx
+            if 0 <= p[0] < mask.shape[0] and 0 <= p[1] < mask.shape[1] and mask[p] and not out[p]:
+                out[p] = True
+                todo.append(p)
+    return out
+
+
+@pytest.mark.parametrize("corners", [False, True])
+def test_grow(corners):
+    rng = np.random.default_rng(4)
+    for share in (0.0, 0.3, 0.55, 0.7, 1.0):
+        mask, seeds = rng.random((5, 17, 23)) < share, rng.random((5, 17, 23)) < 0.02
+        want = np.stack([plain_grow(m, s, corners) for m, s in zip(mask, seeds)])
+        assert (crowns.grow(mask, seeds, corners) == want).all()
+
+
+def test_a_crown_of_radius_499_grows_at_once():
+    y, x = np.mgrid[-499:500, -499:500]
+    disc = (y * y + x * x <= 499 * 499)[None]
+    maze = disc & ((y % 4 > 0) | (x % 40 == np.where(y // 4 % 2, 0, 20)))[None]  # long ways from end to end
+    seed = (y * y + x * x == 4)[None] & (x == 0)[None]
+    for mask in (disc, maze):
+        began = time.perf_counter()
+        got = crowns.grow(mask, seed)
+        assert time.perf_counter() - began < 0.5 and got[0, 501, 499]
+    assert (crowns.grow(disc, seed) == disc).all()
+
+
+def test_settled_candidates_equal_joined_ones(spark, data):
+    metres = fixtures.chm(spark, f"{data}/sf0.001").withColumn("z", F.expr("z div 3000"))
+    classes, key = ((1, 3), (4, 7), (6, 5)), lambda df: sorted((r.row, r.col) for r in df.collect())
+    for limit in (None, 0.3):
+        want = key(tops.break_ties(tops.candidates(metres, classes, limit), classes))
+        for tile in (8, 13, 256):
+            assert key(tops.candidates(metres, classes, limit, tile=tile, settled=True)) == want
+    plan = tops.tops(metres, classes, 0.2, frame=grid.frame(metres))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1
+
+
+@pytest.mark.parametrize(("window", "sigma", "tile"), [(3, 0.8, 5), (9, 2.0, 16), (31, 9.0, 256), (3, 0.0, 7)])
+def test_smoothing_equals_plain_sums(spark, window, sigma, tile):
+    rng = np.random.default_rng(window)
+    cells = {(int(r), int(c)): int(z) for r, c, z in zip(rng.integers(-20, 20, 500), rng.integers(-20, 20, 500), rng.integers(-5000, 9000, 500))}
+    kernel = smooth.kernel(window, sigma)
+    want = []
+    for (r, c), z in cells.items():
+        near = [(cells[r + dr, c + dc], a * b) for dr, a in kernel for dc, b in kernel if (r + dr, c + dc) in cells]
+        num, den = sum(v * w for v, w in near), sum(w for _, w in near)
+        want.append((r, c, z, abs(num) // den * (1 if num >= 0 else -1)))
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "row long, col long, z long")
+    assert sorted(map(tuple, smooth.gaussian(df, window, sigma, tile).collect())) == sorted(want)
