@@ -150,7 +150,7 @@ def vector_sink(spark, sf_dir):
     """Tops through SQLite files, with their geometry, and back. (The files are written when the query is made.)"""
     t = tops.tops(_chm(spark, sf_dir), MIXED, None)
     path = shared(spark, "vector")
-    vector.write(t.select("top_id", "row", "col", "z", vector.point_wkb(F.col("x"), F.col("y")).alias("geom")), path, "SQLite", "tops", vector.POINT_RECORD)
+    vector.write(t.select("top_id", "row", "col", "z", vector.point_wkb(F.col("x"), F.col("y")).alias("geom")), path, "SQLite", "tops")
     back = vector.read_sqlite(spark, path, "tops", "top_id long, row long, col long, z long, geom binary")
     return back.select("top_id", "row", "col", "z", *vector.point_xy(F.col("geom")))
 

@@ -1,7 +1,8 @@
-"""Vector sinks: SQLite files and Shapefiles of points and polygons as raw bytes, and the choice between them by size.
+"""Vector sinks: Spatialite databases and Shapefiles of points and polygons as raw bytes, and the choice between them by size.
 
 Each partition of a table makes a database, or a Shapefile of four parts (.shp, .shx, .dbf, .prj where a coordinate
-system is known), so no task holds more than its partition. Geometry travels as WKB in a column.
+system is known). Tables are dealt to partitions of bounded bytes first, so no task holds more. Geometry travels as WKB in a column; databases
+hold it in Spatialite's form, with its tables and an R*-tree. Sizes are those of the encoded records, summed while a table is written.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that a Shapefile can hold, and of a point and its record.
 SHAPEFILE_LIMIT, POINT_RECORD = 2 * 1000**3, 28
+#: Bytes of geometry and attributes in a file that a task writes.
+FILE_BYTES = 256 << 20
 
 
 def point_wkt(x: Column, y: Column) -> Column:
@@ -39,17 +42,82 @@ def _raw(rows: DataFrame, path: str, mode: str) -> None:
     rows.select(F.col("value").cast("string")).write.mode(mode).option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
 
 
-def write_sqlite(df: DataFrame, path: str, table: str, mode: str = "overwrite") -> None:
-    """One database file for each partition of df. (SQLite ignores the byte after its last page.)"""
+def _polygon_places(wkb: bytes) -> list[int]:
+    """Where the polygons of a multipolygon begin."""
+    (n,), at, out = struct.unpack_from("<I", wkb, 5), 9, []
+    for _ in range(n):
+        out.append(at)
+        (rings,) = struct.unpack_from("<I", wkb, at + 5)
+        at += 9
+        for _ in range(rings):
+            at += 4 + 16 * struct.unpack_from("<I", wkb, at)[0]
+    return out
+
+
+def box_of(wkb: bytes) -> tuple[float, float, float, float]:
+    """xmin, ymin, xmax, ymax of a point or multipolygon."""
+    if wkb[1] == 1:
+        return (*struct.unpack_from("<2d", wkb, 5),) * 2
+    every = np.concatenate(rings_of(wkb))
+    return (*every.min(axis=0).tolist(), *every.max(axis=0).tolist())
+
+
+def to_spatialite(wkb: bytes, srid: int = 0) -> bytes:
+    """A little-endian WKB point or multipolygon in Spatialite's form: marks, system and box before it, each part marked, an end."""
+    body = bytearray(wkb[1:])
+    for at in _polygon_places(wkb) if wkb[1] == 6 else []:
+        body[at - 1] = 0x69
+    return struct.pack("<BBi4dB", 0, 1, srid, *box_of(wkb), 0x7C) + bytes(body) + b"\xfe"
+
+
+def from_spatialite(blob: bytes) -> bytes:
+    """The WKB of what to_spatialite makes."""
+    body = bytearray(b"\x01" + blob[39:-1])
+    if body[1] == 6:
+        (n,), at = struct.unpack_from("<I", body, 5), 9
+        for _ in range(n):
+            body[at] = 1
+            (rings,) = struct.unpack_from("<I", body, at + 5)
+            at += 9
+            for _ in range(rings):
+                at += 4 + 16 * struct.unpack_from("<I", body, at)[0]
+    return bytes(body)
+
+
+def _layer(db: sqlite3.Connection, table: str, kind: int, srid: int, srtext: str) -> None:
+    """Spatialite's tables for the geometry of one table."""
+    db.execute("CREATE TABLE spatial_ref_sys (srid INTEGER NOT NULL PRIMARY KEY, auth_name TEXT NOT NULL, auth_srid INTEGER NOT NULL, ref_sys_name TEXT, proj4text TEXT NOT NULL, srtext TEXT)")
+    db.execute("CREATE TABLE geometry_columns (f_table_name TEXT NOT NULL, f_geometry_column TEXT NOT NULL, geometry_type INTEGER NOT NULL, coord_dimension INTEGER NOT NULL, srid INTEGER NOT NULL, spatial_index_enabled INTEGER NOT NULL, PRIMARY KEY (f_table_name, f_geometry_column))")
+    db.execute("INSERT INTO spatial_ref_sys VALUES (?, ?, ?, ?, ?, ?)", (srid, "epsg" if srid else "NONE", srid, srtext.split('"')[1] if '"' in srtext else "", "", srtext))
+    db.execute("INSERT INTO geometry_columns VALUES (?, 'geom', ?, 2, ?, 1)", (table, kind, srid))
+    db.execute(f'CREATE VIRTUAL TABLE "idx_{table}_geom" USING rtree(pkid, xmin, xmax, ymin, ymax)')
+
+
+def write_sqlite(df: DataFrame, path: str, table: str, mode: str = "overwrite", srid: int = 0, srtext: str = "") -> None:
+    """One database file for each partition of df; a column geom (WKB) becomes a Spatialite layer. (SQLite ignores the byte after its last page.)"""
     names = df.columns
     kinds = [_SQL.get(t, "TEXT") for _, t in df.dtypes]
     layout = ", ".join(f'"{n}" {k}' for n, k in zip(names, kinds, strict=True))
+    insert = f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(names))})'
 
     def file(it):
         db = sqlite3.connect(":memory:")
         db.execute(f'CREATE TABLE "{table}" ({layout})')
+        layered, n = False, 0
         for b in it:
-            db.executemany(f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(names))})', zip(*(b.column(n).to_pylist() for n in names), strict=True))
+            columns = {c: b.column(c).to_pylist() for c in names}
+            geom = columns.get("geom", [])
+            first = next((g for g in geom if g is not None), None)
+            if "geom" in columns and not layered and first is not None:
+                _layer(db, table, first[1], srid, srtext)
+                layered = True
+            if "geom" in columns:
+                columns["geom"] = [None if g is None else to_spatialite(g, srid) for g in geom]
+            db.executemany(insert, zip(*columns.values(), strict=True))
+            boxes = ((n + i + 1, box_of(g)) for i, g in enumerate(geom) if g is not None)
+            if layered:
+                db.executemany(f'INSERT INTO "idx_{table}_geom" VALUES (?, ?, ?, ?, ?)', ((i, x0, x1, y0, y1) for i, (x0, y0, x1, y1) in boxes))
+            n += b.num_rows
         db.commit()
         yield pa.RecordBatch.from_arrays([pa.array([db.serialize()], pa.binary())], names=["value"])
 
@@ -57,7 +125,7 @@ def write_sqlite(df: DataFrame, path: str, table: str, mode: str = "overwrite")
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
-    """The rows of all database files under path."""
+    """The rows of all database files under path; the geometry of a layer as WKB."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def rows(it):
@@ -65,9 +133,12 @@ def read_sqlite(spark: SparkSession, path: str, table: str, schema: str) -> Data
             for x in b.column("content"):
                 db = sqlite3.connect(":memory:")
                 db.deserialize(bytes(x.as_buffer())[: x.as_buffer().size // 512 * 512])
-                got = db.execute(f'SELECT {", ".join(chr(34) + n + chr(34) for n in names)} FROM "{table}"').fetchall()
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got, strict=True)], names=names)
+                known = db.execute("SELECT count(*) FROM sqlite_master WHERE name = 'geometry_columns'").fetchone()[0]
+                layers = {c for (c,) in db.execute("SELECT f_geometry_column FROM geometry_columns WHERE f_table_name = ?", (table,))} if known else set()
+                found = db.execute(f'SELECT {", ".join(chr(34) + n + chr(34) for n in names)} FROM "{table}"')
+                while got := found.fetchmany(1 << 15):
+                    columns = [[None if v is None else from_spatialite(v) for v in c] if n in layers else c for n, c in zip(names, zip(*got, strict=True), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return spark.read.format("binaryFile").load(path).where("length > 0").select("content").mapInArrow(rows, schema)
 
@@ -162,7 +233,13 @@ def dbf(columns: dict[str, list]) -> bytes:
     whole = {c: all(v is None or float(v).is_integer() for v in vs) for c, vs in columns.items()}
     out = [struct.pack("<4BIHH20x", 3, 124, 1, 1, n, 33 + 32 * len(columns), 1 + 18 * len(columns))]
     out += [struct.pack("<11scI2B14x", c[:10].encode(), b"N", 0, 18, 0 if whole[c] else 6) for c in columns]
-    text = lambda c, v: b" " * 18 if v is None else b"%18d" % int(v) if whole[c] else b"%18.6f" % v
+
+    def text(c: str, v) -> bytes:
+        told = b"" if v is None else b"%d" % int(v) if whole[c] else b"%.6f" % v
+        if len(told) > 18:
+            raise ValueError(f"{c}: {v} is wider than 18 digits")
+        return told.rjust(18)
+
     body = [b" " + b"".join(text(c, v) for c, v in zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=True)]
     return b"".join([*out, b"\r", *body, b"\x1a"])
 
@@ -233,17 +310,43 @@ def _wkb(record: bytes) -> bytes:
     return b"".join(out)
 
 
-def write(df: DataFrame, path: str, driver: str, table: str, bytes_a_record: int, limit: int = SHAPEFILE_LIMIT, prj: str = "", epsg: int | None = None, over: bool = False) -> tuple[str, str]:
-    """df (geom as WKB and attributes) by its driver; a Shapefile that would pass the limit becomes SQLite. over: an output before it did.
+def shp_record(geom: Column) -> Column:
+    """Bytes of a record of a .shp file for a WKB point or multipolygon: of the latter, WKB without the heads of its polygons, and a box."""
+    count = F.conv(F.hex(F.concat(*(F.substring(geom, k, 1) for k in (9, 8, 7, 6)))), 16, 10).cast("long")
+    return F.when(F.substring(geom, 2, 1) == F.lit(b"\x01"), F.lit(POINT_RECORD)).otherwise(43 + F.length(geom) - 9 * count)
+
 
-    Gives path and driver as they came to be; the ending follows the driver.
+def measured(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """df, and what is observed while it is written: n records and their bytes in a .shp and a .dbf file."""
+    seen = Observation()
+    wide = 1 + 18 * (len(df.columns) - 1)
+    return df.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum(shp_record(F.col("geom"))), F.lit(0)).alias("shp"), (F.count("*") * wide).alias("dbf")), seen
+
+
+def write(df: DataFrame, path: str, driver: str, table: str, limit: int = SHAPEFILE_LIMIT, prj: str = "", epsg: int | None = None, over: bool = False, size: dict | None = None, file_bytes: int = FILE_BYTES) -> tuple[str, str]:
+    """df (geom as WKB and attributes) by its driver; a Shapefile of which a file would pass the limit becomes SQLite. over: an output before it did.
+
+    size is what ``measured`` observed (looked up unless it is given). Gives path and driver as they came to be; the ending follows the driver.
     """
-    if driver == "ESRI Shapefile" and (over or df.count() * bytes_a_record > limit):
-        driver, path = "SQLite", path.removesuffix(".shp") + ".sqlite"
+    if size is None:
+        seen_df, seen = measured(df)
+        seen_df.write.format("noop").mode("overwrite").save()
+        size = seen.get
+    heads = 100, 34 + 32 * (len(df.columns) - 1)
+    if driver == "ESRI Shapefile" and (over or max(size["shp"] + heads[0], size["dbf"] + heads[1]) > limit):
+        driver, path = "SQLite", as_sqlite(path)
+    files = -(-(size["shp"] + size["dbf"]) // file_bytes)
+    if files > 1:
+        df = df.repartition(files)
     if driver == "SQLite":
-        write_sqlite(df.withColumn("srid", F.lit(epsg).cast("long")) if epsg else df, path, table)
+        write_sqlite(df.withColumn("srid", F.lit(epsg).cast("long")) if epsg else df, path, table, srid=epsg or 0, srtext=prj)
     elif driver == "ESRI Shapefile":
         write_shapefile(df, path, tuple(c for c in df.columns if c != "geom"), prj=prj)
     else:
         raise ValueError(f"no writer for {driver}")
     return path, driver
+
+
+def as_sqlite(path: str) -> str:
+    """The path of a Shapefile that becomes a database."""
+    return path.removesuffix(".shp") + ".sqlite" if path else path

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,3 +59,54 @@ class Clock:
         self.ended.set()
         self.thread.join()
         self.told(self.seconds())
+
+
+class Watch:
+    """Tells how far the Spark jobs of a block are, from 0 to 1 and never back, and ends them once stop is set.
+
+    The jobs form a group, which Spark's status tracker is asked about with every tick. How many jobs will come isn't known, so each takes
+    half of what is left: with n done and the tasks of those under way done to a share x, 1 - (1 - x / 2) / 2**n.
+    """
+
+    def __init__(self, spark: SparkSession, message: str, told: Callable[[float], None], stop: threading.Event, tick: float = 0.2):
+        self.sc, self.message, self.told, self.stop, self.tick = spark.sparkContext, message, told, stop, tick
+        self.group, self.ended, self.last = f"canoply-{uuid.uuid4().hex}", threading.Event(), 0.0
+        self.thread = threading.Thread(target=self._run, daemon=True)
+
+    def share(self) -> float:
+        tracker, done, tasks, over = self.sc.statusTracker(), 0, 0, 0
+        for job in tracker.getJobIdsForGroup(self.group):
+            info = tracker.getJobInfo(job)
+            if info is None or info.status == "SUCCEEDED":
+                done += 1
+                continue
+            for stage in map(tracker.getStageInfo, info.stageIds):
+                if stage is not None:
+                    tasks, over = tasks + stage.numTasks, over + stage.numCompletedTasks
+        return 1 - (1 - (over / tasks if tasks else 0) / 2) / 2**done
+
+    def _tell(self, share: float) -> None:
+        if share > self.last or share == 0:
+            self.last = share
+            self.told(share)
+
+    def _run(self) -> None:
+        while not self.ended.wait(self.tick):
+            if self.stop.is_set():
+                self.sc.cancelJobGroup(self.group)
+            else:
+                self._tell(self.share())
+
+    def __enter__(self) -> Watch:
+        self.sc.setJobGroup(self.group, self.message, interruptOnCancel=True)
+        self._tell(0.0)
+        self.thread.start()
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        self.ended.set()
+        self.thread.join()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            self.sc.setLocalProperty(name, None)
+        if kind is None:
+            self._tell(1.0)

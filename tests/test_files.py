@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sqlite3
 import struct
+import threading
+import time
 import zlib
 from dataclasses import replace
 
@@ -13,7 +15,7 @@ from test_run import FULL
 
 from canoply.operators import crowns, grid, polygons, smooth, tops
 from canoply.plans import fixtures
-from canoply.plans.run import Cancelled, read_tops, run, run_files
+from canoply.plans.run import Callbacks, Cancelled, read_tops, run, run_files
 from canoply.sources import geotiff, vector
 
 GEO = grid.Georef(0.25, -0.5, 2.0, 2.0, (1, 1, 0, 1, 3072, 0, 1, 32610))
@@ -211,3 +213,73 @@ def test_prj_of_other_systems():
 
     assert crs.prj(grid.Georef()) == "" and crs.wkt(4326).startswith('GEOGCS["GCS_WGS_1984"') and "10000000.0" in crs.wkt(32719)
     assert crs.wkt(3005).startswith('LOCAL_CS["EPSG:3005"') and crs.prj(grid.Georef(keys=(1, 1, 0, 1, 3072, 0, 1, 32767), names="My grid|")) == 'LOCAL_CS["My grid",UNIT["Meter",1.0]]'
+
+
+def test_spatialite(spark, tmp_path):
+    """A box query by the R*-tree, Spatialite's tables, and files of bounded bytes."""
+    owned = spark.createDataFrame([(10 * k + r, 10 * k + c, k) for k in range(40) for r in range(3) for c in range(3) if (r, c) != (1, 1) or k % 2], "row long, col long, crown_id long")
+    shapes = polygons.polygons(owned, geo=GEO).select("crown_id", "area", "geom")
+    vector.write(shapes, f"file://{tmp_path}/one", "SQLite", "crowns", epsg=32610, prj="PROJCS[\"x\"]", file_bytes=1 << 30)
+    vector.write(shapes, f"file://{tmp_path}/many", "SQLite", "crowns", file_bytes=1000)
+    file = lambda name: [f for f in (tmp_path / name).glob("part*") if f.stat().st_size]
+    assert len(file("many")) > 4 and max(f.stat().st_size for f in file("many")) < max(f.stat().st_size for f in file("one"))
+    want = {r.crown_id: bytes(r.geom) for r in shapes.collect()}
+    hits = set()
+    for f in file("one"):
+        db = sqlite3.connect(f"file:{f}?mode=ro", uri=True)
+        assert db.execute("SELECT f_geometry_column, geometry_type, srid, spatial_index_enabled FROM geometry_columns").fetchall() == [("geom", 6, 32610, 1)]
+        assert db.execute("SELECT srid, ref_sys_name FROM spatial_ref_sys").fetchall() == [(32610, "x")]
+        box = (0.25 + 2 * 100, 0.25 + 2 * 131, -0.5 - 2 * 131, -0.5 - 2 * 100)
+        near = db.execute("SELECT crown_id, geom FROM crowns WHERE rowid IN (SELECT pkid FROM idx_crowns_geom WHERE xmax >= ? AND xmin <= ? AND ymax >= ? AND ymin <= ?)", box).fetchall()
+        for k, blob in near:
+            hits.add(k)
+            x0, y0, x1, y1 = struct.unpack_from("<4d", blob, 6)
+            assert (blob[0], blob[1], blob[38], blob[-1]) == (0, 1, 0x7C, 0xFE) and (x1 - x0, y1 - y0) == (6, 6) and vector.from_spatialite(blob) == want[k]
+    assert hits == {10, 11, 12, 13}
+    for name in ("one", "many"):
+        assert {r.crown_id: bytes(r.geom) for r in vector.read_sqlite(spark, f"file://{tmp_path}/{name}", "crowns", "crown_id long, geom binary").collect()} == want
+
+
+def test_sizes_are_those_of_the_files(spark, tmp_path):
+    owned = spark.createDataFrame([(20 * k + r, c, k) for k in range(9) for r in range(5) for c in range(3 + k) if (r, c) != (1, 1)] + [(500, 0, 3), (500, 2, 3)], "row long, col long, crown_id long")
+    shapes = polygons.polygons(owned).select("crown_id", "area", "geom").coalesce(1)
+    points = tops.points(spark.createDataFrame([(1, 2, 9), (4, 4, 9)], "row long, col long, z long")).coalesce(1).select("top_id", "z", vector.point_wkb(vector.F.col("x"), vector.F.col("y")).alias("geom"))
+    for name, df in (("shapes", shapes), ("points", points)):
+        seen_df, seen = vector.measured(df)
+        seen_df.write.format("noop").mode("overwrite").save()
+        size = seen.get
+        assert vector.write(df, f"file://{tmp_path}/{name}.shp", "ESRI Shapefile", "t") == (f"file://{tmp_path}/{name}.shp", "ESRI Shapefile")
+        real = {p: sum(f.stat().st_size - 1 for f in (tmp_path / f"{name}.shp/part={p}").glob("part*")) for p in ("shp", "dbf")}
+        assert (real["shp"], real["dbf"]) == (size["shp"] + 100, size["dbf"] + 34 + 32 * 2)
+        most = max(real.values())
+        assert [vector.write(df, f"file://{tmp_path}/{name}{k}.shp", "ESRI Shapefile", "t", k)[1] for k in (most, most - 1)] == ["ESRI Shapefile", "SQLite"]
+
+
+def test_wide_numbers_fail():
+    with pytest.raises(ValueError, match="18 digits"):
+        vector.dbf({"id": [1 << 62]})
+
+
+def test_steps_and_stop(spark, data, tmp_path):
+    base = f"file://{tmp_path}"
+    geotiff.write(grid.to_float(fixtures.chm(spark, f"{data}/sf0.01"), "z"), f"{base}/chm", "z")
+    config = replace(FULL, original=f"{base}/chm", smoothed=f"{base}/smoothed", tops=f"{base}/tops.sqlite", crowns_raster=f"{base}/raster", crowns=f"{base}/crowns.sqlite")
+    steps = []
+    run_files(spark, config, calls=Callbacks(step=lambda x, m: steps.append((m, x)), tick=0.05))
+    for phase in ("smoothed", "tops found", "crowns grown"):
+        own = [x for m, x in steps if m == phase]
+        assert own[0] == 0 and own[-1] == 1 and own == sorted(own)
+        assert phase == "smoothed" or len({x for x in own if 0 < x < 1}) >= 3
+    stop, told = threading.Event(), []
+    other = replace(config, smoothed=f"{base}/smoothed2", tops=f"{base}/tops2.sqlite", crowns_raster=f"{base}/raster2", crowns=f"{base}/crowns2.sqlite")
+
+    def step(x, message):
+        if message == "tops found" and not stop.is_set():
+            told.append(time.monotonic())
+            stop.set()
+
+    with pytest.raises(Cancelled):
+        run_files(spark, other, calls=Callbacks(step=step, stop=stop, tick=0.05))
+    assert time.monotonic() - told[0] < 10 and (tmp_path / "smoothed2").exists()
+    assert not any((tmp_path / x).exists() for x in ("tops2.sqlite", "raster2", "crowns2.sqlite"))
+    assert spark.range(10).count() == 10  # later jobs aren't touched
