@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,26 +20,32 @@ INT, FLOAT = r"^\s*([+-]?\d+)", r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?
 PAIR, LONGEST = r"([^:]*):([^\n]*)\n", 1023
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """(key, value) of lines (line_no, value): a key runs to the next colon and its value to the end of that line; the last one of a key wins.
+def parse(lines: DataFrame, by: Sequence[str] = (), longest: int | None = LONGEST) -> DataFrame:
+    """(*by, key, value) of lines (*by, line_no, value): a key runs to the next colon and its value to the end of that line; the last one of a key wins.
 
     So a line without a colon becomes part of the key after it, and what follows the last value, if anything, is a key without a value; keys may be
-    empty. A field of more than LONGEST characters is cut there and ends the reading. A settings file is small and is read as one text.
+    empty. A field of more than longest characters is cut there and ends the reading, as in the files that this is for; None: no limit. by names
+    what tells files apart: each is read as one text of its own, so tables of many files spread over tasks.
     """
+    by = list(by)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("value", F.lit("")).alias("v")))), lambda x: F.concat(x["v"], F.lit("\n"))), "")
-    text = lines.agg(joined.alias("t"))
+    text = lines.groupBy(*by).agg(joined.alias("t"))
     found = F.arrays_zip(F.regexp_extract_all("t", F.lit(PAIR), 1).alias("k"), F.regexp_extract_all("t", F.lit(PAIR), 2).alias("v"))
     left = F.regexp_replace("t", PAIR, "")
     rest = F.when(left != "", F.array(F.struct(left.alias("k"), F.lit("").alias("v")))).otherwise(F.array())
-    pairs = text.select(F.concat(found, rest).alias("p")).withColumn("long", F.transform("p", lambda x: (F.length(x["k"]) > LONGEST) | (F.length(x["v"]) > LONGEST)))
-    end = F.array_position("long", True)  # 0: none
-    pairs = pairs.select(F.posexplode(F.when(end > 0, F.slice("p", 1, end.cast("int"))).otherwise(F.col("p"))).alias("n", "x"))
-    value = F.when(F.length("x.k") > LONGEST, F.lit("")).otherwise(F.left("x.v", F.lit(LONGEST)))
-    return pairs.select("n", F.left("x.k", F.lit(LONGEST)).alias("key"), value.alias("value")).groupBy("key").agg(F.max_by("value", "n").alias("value"))
+    pairs = text.select(*by, F.concat(found, rest).alias("p"))
+    if longest is None:
+        pairs, key, value = pairs.select(*by, F.posexplode("p").alias("n", "x")), F.col("x.k"), F.col("x.v")
+    else:
+        pairs = pairs.withColumn("long", F.transform("p", lambda x: (F.length(x["k"]) > longest) | (F.length(x["v"]) > longest)))
+        end = F.array_position("long", True)  # 0: none
+        pairs = pairs.select(*by, F.posexplode(F.when(end > 0, F.slice("p", 1, end.cast("int"))).otherwise(F.col("p"))).alias("n", "x"))
+        key, value = F.left("x.k", F.lit(longest)), F.when(F.length("x.k") > longest, F.lit("")).otherwise(F.left("x.v", F.lit(longest)))
+    return pairs.select(*by, "n", key.alias("key"), value.alias("value")).groupBy(*by, "key").agg(F.max_by("value", "n").alias("value"))
 
 
 def to_lines(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.concat_ws(":", "key", F.coalesce("value", F.lit(""))).alias("line"))
+    return pairs.select(*(c for c in pairs.columns if c not in ("key", "value")), F.concat_ws(":", "key", F.coalesce("value", F.lit(""))).alias("line"))
 
 
 def as_int(v: Column, default: Column | int = 0) -> Column:
@@ -60,22 +68,23 @@ def as_string(v: Column, default: Column | str = "") -> Column:
     return F.coalesce(v, F.lit(default) if isinstance(default, str) else default)
 
 
-def load(pairs: DataFrame, current: DataFrame) -> DataFrame:
-    """(key, value) for each known key of current (key, value): a missing key keeps its value.
+def load(pairs: DataFrame, current: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, key, value) for each known key of current (*by, key, value): a missing key keeps its value; by tells files apart.
 
     The two threshold lists are emptied where they are missing. settingsFile is never read.
     """
-    new = pairs.select("key", F.col("value").alias("_new"))
+    at = [*by, "key"]
+    new = pairs.select(*at, F.col("value").alias("_new"))
     lists = [k for k, kind in KEYS.items() if kind == "list"]
     got = F.when(F.col("key") == "settingsFile", F.col("value")).when(F.col("key").isin(lists), F.coalesce("_new", F.lit(""))).otherwise(F.coalesce("_new", "value"))
-    return current.join(new, "key", "left").select("key", got.alias("value"))
+    return current.join(new, at, "left").select(*at, got.alias("value"))
 
 
-def on_existing(pairs: DataFrame, current: DataFrame, defaults: DataFrame, choice: str) -> DataFrame:
-    """(key, value) after a settings file that exists was named: "open" loads it over current, "reset" leaves it aside for the defaults."""
+def on_existing(pairs: DataFrame, current: DataFrame, defaults: DataFrame, choice: str, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, key, value) after a settings file that exists was named: "open" loads it over current, "reset" leaves it aside for the defaults."""
     if choice not in ("open", "reset"):
         raise ValueError("the choice is open or reset")
-    return load(pairs, current) if choice == "open" else defaults.select("key", "value")
+    return load(pairs, current, by) if choice == "open" else defaults.select(*by, "key", "value")
 
 
 def save(config: DataFrame) -> DataFrame:

@@ -17,7 +17,14 @@ def _rows(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pairs(spark, sf_dir):
-    return settings.parse(_rows(spark, sf_dir, "LINES"))
+    """Of the lines of many files."""
+    return settings.parse(_rows(spark, sf_dir, "LINES"), ["file"])
+
+
+def _each_file(spark, sf_dir, rows: list[tuple], *names: str) -> DataFrame:
+    """The rows for each file."""
+    files = _rows(spark, sf_dir, "LINES").select("file").distinct()
+    return files.select("file", F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(r, names, strict=True))) for r in rows))).alias("x")).select("file", "x.*")
 
 
 def _lists(spark, sf_dir):
@@ -37,37 +44,39 @@ def settings_format(spark, sf_dir):
 
 
 def settings_geti(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("key", settings.as_int(F.col("value"), 7).alias("n"))
+    return _pairs(spark, sf_dir).select("file", "key", settings.as_int(F.col("value"), 7).alias("n"))
 
 
 def settings_getf(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("key", settings.as_double(F.col("value")).alias("x"))
+    return _pairs(spark, sf_dir).select("file", "key", settings.as_double(F.col("value")).alias("x"))
 
 
 def settings_getb(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("key", settings.as_bool(F.col("value")).alias("b"))
+    return _pairs(spark, sf_dir).select("file", "key", settings.as_bool(F.col("value")).alias("b"))
 
 
 def settings_gets(spark, sf_dir):
-    wanted = spark.range(60).select(F.concat(F.lit("path"), "id").alias("key"))
-    return wanted.join(_pairs(spark, sf_dir), "key", "left").select("key", settings.as_string(F.col("value"), "none").alias("s"))
+    wanted = _each_file(spark, sf_dir, [(f"path{i}",) for i in range(60)], "key")
+    return wanted.join(_pairs(spark, sf_dir), ["file", "key"], "left").select("file", "key", settings.as_string(F.col("value"), "none").alias("s"))
+
+
+def _named(spark, sf_dir) -> DataFrame:
+    """Pairs whose keys are mapped onto known ones."""
+    named = _each_file(spark, sf_dir, [(k, f"path{2 * i}") for i, k in enumerate(settings.KEYS)], "known", "key")
+    return _pairs(spark, sf_dir).join(named, ["file", "key"]).select("file", F.col("known").alias("key"), "value")
 
 
 def settings_load(spark, sf_dir):
-    """The known keys get values from lines whose keys are mapped onto them; the others keep what they have."""
-    keys = list(settings.KEYS)
-    current = spark.createDataFrame([(i, k, f"old{i}") for i, k in enumerate(keys)], "i int, key string, value string")
-    said = current.join(_pairs(spark, sf_dir).withColumnRenamed("key", "k").withColumnRenamed("value", "v"), F.col("k") == F.concat(F.lit("path"), F.col("i") * 2)).select("key", F.col("v").alias("value"))
-    return settings.load(said, current.select("key", "value"))
+    """The known keys get values from each file; the others keep what they have."""
+    current = _each_file(spark, sf_dir, [(k, f"old{i}") for i, k in enumerate(settings.KEYS)], "key", "value")
+    return settings.load(_named(spark, sf_dir), current, ["file"])
 
 
 def settings_on_existing(spark, sf_dir):
     """Both choices, side by side."""
-    old = spark.createDataFrame([(k, f"old{i}") for i, k in enumerate(settings.KEYS)], "key string, value string")
-    new = spark.createDataFrame([(k, "") for k in settings.KEYS], "key string, value string")
-    named = spark.createDataFrame([(k, f"path{2 * i}") for i, k in enumerate(settings.KEYS)], "known string, key string")
-    pairs = _pairs(spark, sf_dir).join(named, "key").select(F.col("known").alias("key"), "value")
-    both = [settings.on_existing(pairs, old, new, choice).withColumn("choice", F.lit(choice)) for choice in ("open", "reset")]
+    old = _each_file(spark, sf_dir, [(k, f"old{i}") for i, k in enumerate(settings.KEYS)], "key", "value")
+    new = _each_file(spark, sf_dir, [(k, "") for k in settings.KEYS], "key", "value")
+    both = [settings.on_existing(_named(spark, sf_dir), old, new, choice, ["file"]).withColumn("choice", F.lit(choice)) for choice in ("open", "reset")]
     return both[0].unionByName(both[1])
 
 
@@ -219,12 +228,13 @@ QUERIES = {f.__name__: f for f in (
 # The same in SQL.
 
 _PAIR = "'([^:]*):([^\\n]*)\\n'"
-_LINES = f"""WITH l AS ({fixtures.duck_sql(fixtures.LINES)}), t AS (SELECT coalesce(string_agg(value || chr(10), '' ORDER BY line_no), '') AS t FROM l),
-  u AS (SELECT regexp_extract_all(t, {_PAIR}, 1) AS k, regexp_extract_all(t, {_PAIR}, 2) AS v, regexp_replace(t, {_PAIR}, '', 'g') AS rest FROM t),
-  o AS (SELECT CASE WHEN rest = '' THEN k ELSE list_append(k, rest) END AS k, CASE WHEN rest = '' THEN v ELSE list_append(v, '') END AS v FROM u),
-  q AS (SELECT unnest(k) AS key, unnest(v) AS value, unnest(range(1, len(k) + 1)) AS n FROM o),
-  p AS (SELECT left(key, 1023) AS key, arg_max(CASE WHEN length(key) > 1023 THEN '' ELSE left(value, 1023) END, n) AS value FROM q
-    WHERE n <= coalesce((SELECT min(n) FROM q WHERE length(key) > 1023 OR length(value) > 1023), n) GROUP BY 1)"""
+_LINES = f"""WITH l AS ({fixtures.duck_sql(fixtures.LINES)}), t AS (SELECT file, coalesce(string_agg(value || chr(10), '' ORDER BY line_no), '') AS t FROM l GROUP BY file),
+  u AS (SELECT file, regexp_extract_all(t, {_PAIR}, 1) AS k, regexp_extract_all(t, {_PAIR}, 2) AS v, regexp_replace(t, {_PAIR}, '', 'g') AS rest FROM t),
+  o AS (SELECT file, CASE WHEN rest = '' THEN k ELSE list_append(k, rest) END AS k, CASE WHEN rest = '' THEN v ELSE list_append(v, '') END AS v FROM u),
+  q AS (SELECT file, unnest(k) AS key, unnest(v) AS value, unnest(range(1, len(k) + 1)) AS n FROM o),
+  e AS (SELECT file, min(n) AS last FROM q WHERE length(key) > 1023 OR length(value) > 1023 GROUP BY file),
+  p AS (SELECT file, left(key, 1023) AS key, arg_max(CASE WHEN length(key) > 1023 THEN '' ELSE left(value, 1023) END, n) AS value FROM q LEFT JOIN e USING (file) WHERE n <= coalesce(last, n) GROUP BY 1, 2),
+  f AS (SELECT DISTINCT file FROM l)"""
 _T = "[{'threshold': x[2 * i + 1]::DOUBLE, 'window': x[2 * i + 2]::INTEGER} FOR i IN range(len(x) // 2)]"
 _C = "[{'threshold': y[3 * i + 1]::DOUBLE, 'fraction': y[3 * i + 2]::DOUBLE, 'radius': y[3 * i + 3]::DOUBLE} FOR i IN range(len(y) // 3)]"
 _LISTS = "WITH r AS (" + fixtures.duck_sql(fixtures.LISTS) + f"), z AS (SELECT *, string_split(tops, ',') AS x, string_split(crowns, ',') AS y FROM r), v AS (SELECT id, tops, crowns, {_T} AS t, {_C} AS c FROM z)"
@@ -244,14 +254,14 @@ _KNOWN = ", ".join(f"({i}, '{k}')" for i, k in enumerate(settings.KEYS))
 _NUMBER = "regexp_replace({}::VARCHAR, '\\.0$', '')"
 
 ORACLES = {
-    "settings_parse": f"{_LINES} SELECT key, value FROM p",
-    "settings_format": f"{_LINES} SELECT key || ':' || value AS line FROM p",
-    "settings_geti": f"{_LINES} SELECT key, least(greatest(coalesce(try_cast(regexp_extract(value, '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0), -2147483648), 2147483647)::INTEGER AS n FROM p",
-    "settings_getf": f"{_LINES} SELECT key, coalesce(try_cast(regexp_extract(value, '^\\s*([+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)', 1) AS DOUBLE), 0.0) AS x FROM p",
-    "settings_getb": f"{_LINES} SELECT key, substr(value, 1, 1) IN ('t', 'T', '1') AS b FROM p",
-    "settings_gets": f"{_LINES} SELECT 'path' || i AS key, coalesce(value, 'none') AS s FROM range(60) x(i) LEFT JOIN p ON p.key = 'path' || i",
-    "settings_load": f"{_LINES} SELECT k.key, CASE WHEN k.key = 'settingsFile' THEN 'old' || i WHEN k.key IN ('topsThresholds', 'crownsThresholds') THEN coalesce(p.value, '') ELSE coalesce(p.value, 'old' || i) END AS value FROM (VALUES {_KNOWN}) k(i, key) LEFT JOIN p ON p.key = 'path' || (i * 2)",
-    "settings_on_existing": f"{_LINES} SELECT *, 'open' AS choice FROM (SELECT k.key, CASE WHEN k.key = 'settingsFile' THEN 'old' || i WHEN k.key IN ('topsThresholds', 'crownsThresholds') THEN coalesce(p.value, '') ELSE coalesce(p.value, 'old' || i) END AS value FROM (VALUES {_KNOWN}) k(i, key) LEFT JOIN p ON p.key = 'path' || (i * 2)) UNION ALL SELECT key, '', 'reset' FROM (VALUES {_KNOWN}) k(i, key)",
+    "settings_parse": f"{_LINES} SELECT file, key, value FROM p",
+    "settings_format": f"{_LINES} SELECT file, key || ':' || value AS line FROM p",
+    "settings_geti": f"{_LINES} SELECT file, key, least(greatest(coalesce(try_cast(regexp_extract(value, '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0), -2147483648), 2147483647)::INTEGER AS n FROM p",
+    "settings_getf": f"{_LINES} SELECT file, key, coalesce(try_cast(regexp_extract(value, '^\\s*([+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)', 1) AS DOUBLE), 0.0) AS x FROM p",
+    "settings_getb": f"{_LINES} SELECT file, key, substr(value, 1, 1) IN ('t', 'T', '1') AS b FROM p",
+    "settings_gets": f"{_LINES} SELECT f.file, 'path' || i AS key, coalesce(value, 'none') AS s FROM f CROSS JOIN range(60) x(i) LEFT JOIN p ON p.file = f.file AND p.key = 'path' || i",
+    "settings_load": f"{_LINES} SELECT f.file, k.key, CASE WHEN k.key = 'settingsFile' THEN 'old' || i WHEN k.key IN ('topsThresholds', 'crownsThresholds') THEN coalesce(p.value, '') ELSE coalesce(p.value, 'old' || i) END AS value FROM f CROSS JOIN (VALUES {_KNOWN}) k(i, key) LEFT JOIN p ON p.file = f.file AND p.key = 'path' || (i * 2)",
+    "settings_on_existing": f"{_LINES} SELECT *, 'open' AS choice FROM (SELECT f.file, k.key, CASE WHEN k.key = 'settingsFile' THEN 'old' || i WHEN k.key IN ('topsThresholds', 'crownsThresholds') THEN coalesce(p.value, '') ELSE coalesce(p.value, 'old' || i) END AS value FROM f CROSS JOIN (VALUES {_KNOWN}) k(i, key) LEFT JOIN p ON p.file = f.file AND p.key = 'path' || (i * 2)) UNION ALL SELECT f.file, key, '', 'reset' FROM f CROSS JOIN (VALUES {_KNOWN}) k(i, key)",
     "settings_save": """SELECT c_custkey AS id, unnest(['originalCHM:' || c_name, 'doSmoothing:' || CASE WHEN c_custkey % 2 = 0 THEN '1' ELSE '0' END, 'smoothWindowSize:' || (c_custkey % 9),
       'smoothSigma:' || format('{:.6f}', c_acctbal)]) AS line FROM customer""",
     "thresholds_parse": _items("c", ("threshold", "fraction", "radius")),

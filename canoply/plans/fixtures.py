@@ -22,7 +22,7 @@ GROUP BY 1, 2
 
 #: Settings lines from customer: repeated keys, values with further colons, numbers with tails, blanks.
 LINES = """
-SELECT c_custkey AS line_no, CASE c_custkey % 8
+SELECT CAST(floor(c_custkey / 50) AS BIGINT) AS file, c_custkey AS line_no, CASE c_custkey % 8
     WHEN 0 THEN concat('int', c_custkey % 40, ':', c_custkey, 'px')
     WHEN 1 THEN concat('int', c_custkey % 40, ': -', c_custkey)
     WHEN 2 THEN concat('num', c_custkey % 40, ':', CAST(c_custkey AS VARCHAR(20)), '.5e1x')

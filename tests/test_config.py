@@ -27,6 +27,12 @@ def test_parse_ends_at_a_field_that_is_too_long(spark):
     assert settings.parse(lines.where("false")).count() == 0
 
 
+def test_files_are_read_apart_and_without_a_limit(spark):
+    lines = spark.createDataFrame([("x", 1, "a:1"), ("y", 1, "a:2"), ("x", 2, "open"), ("y", 2, "b:" + "v" * 2000), ("y", 3, "c:3")], "file string, line_no long, value string")
+    assert {tuple(r) for r in settings.parse(lines, ["file"]).collect()} == {("x", "a", "1"), ("x", "open\n", ""), ("y", "a", "2"), ("y", "b", "v" * 1023)}
+    assert {(r.file, r.key, len(r.value)) for r in settings.parse(lines, ["file"], None).where("file = 'y'").collect()} == {("y", "a", 1), ("y", "b", 2000), ("y", "c", 1)}
+
+
 def test_round_trip_of_lines(spark):
     pairs = spark.createDataFrame([("k", "v:w"), ("empty", "")], "key string, value string")
     lines = settings.to_lines(pairs).select(F.monotonically_increasing_id().alias("line_no"), F.col("line").alias("value"))
