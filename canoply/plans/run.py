@@ -151,9 +151,7 @@ _TOPS = "top_id long, row long, col long, z long, zs long"
 
 
 def _write_raster(cells: DataFrame, name: str, kind: str, path: str, driver: str, geo: grid.Georef) -> None:
-    if driver != "GTiff":
-        raise ValueError(f"no writer for {driver}")
-    geotiff.write(cells, path, name, kind, geo=geo)
+    geotiff.write(cells, path, name, kind, geo=geo, driver=driver)
 
 
 def read_tops(spark: SparkSession, config: Config) -> DataFrame:
@@ -167,7 +165,7 @@ def read_tops(spark: SparkSession, config: Config) -> DataFrame:
 def run_files(spark: SparkSession, config: Config, cancelled: Callable[[], bool] = lambda: False, told: Callable[[float, str], None] = _nothing, clock: Callable[[float], None] = _nothing, limit: int = vector.SHAPEFILE_LIMIT, calls: Callbacks | None = None) -> Config:
     """A run from the canopy heights that config names to the files it names; gives config with the outputs as they came to be.
 
-    Rasters are GeoTIFF mosaics in metres, a folder each; databases hold geometry on the map, and radii are in its units. A Shapefile that would pass the
+    Rasters are GeoTIFF or HFA mosaics in metres, a folder each; databases hold geometry on the map, and radii are in its units. A Shapefile that would pass the
     limit becomes SQLite, and if tops do, so do crowns. clock is told the seconds since the beginning, every second.
     """
     config.check_files()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from . import tiff
+from . import hfa, tiff
 
 TASK_BYTES, HEAD, CELLS = 64 << 20, 64 << 10, 1 << 18
 #: Hadoop's names of file systems that Arrow has, and Arrow's.
@@ -57,9 +57,14 @@ class Window:
         return row <= self.row_hi and row + rows > self.row_lo and col <= self.col_hi and col + cols > self.col_lo
 
 
+def layout(data) -> tiff.Layout | hfa.Layout:
+    """What a file says of its blocks, by its first bytes."""
+    return hfa.Layout(data) if data[: len(hfa.MARK)] == hfa.MARK else tiff.Layout(*tiff.fields(data))
+
+
 def cells(data, band: int, window: Window = Window(), share: tuple[int, int] = (0, 1)) -> Iterator[pa.RecordBatch]:
     """The cells of a file's blocks that the window meets; of share (k, n) only the k-th of n parts of the blocks."""
-    found = tiff.Layout(*tiff.fields(data))
+    found = layout(data)
     k, n = share
     every = list(found.blocks(band))
     for b in every[len(every) * k // n : len(every) * (k + 1) // n]:
@@ -75,7 +80,7 @@ def cells(data, band: int, window: Window = Window(), share: tuple[int, int] = (
 
 def place(data) -> Iterator[pa.RecordBatch]:
     """A row: where the file's grid lies."""
-    geo = tiff.georef(tiff.fields(data)[1])[0]
+    geo = layout(data).geo
     yield pa.RecordBatch.from_pylist([{**vars(geo), "keys": list(geo.keys), "doubles": list(geo.doubles)}], _KINDS["place"])
 
 

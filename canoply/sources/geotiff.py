@@ -1,4 +1,4 @@
-"""GeoTIFF as Spark tables of cells.
+"""GeoTIFF and HFA files as Spark tables of cells.
 
 A raster is written as a mosaic: one file for each tile, so no task holds more than one tile. Files are raw
 bytes that Spark's text writer puts down, on any file system and under its commit protocol (the byte after the
@@ -15,22 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import Georef
-from . import blocks
+from . import blocks, hfa
 from .blocks import Window
 from .tiff import DEFLATE, NODATA, PLAIN, Raster, decode, encode, fields, raster, unlzw
 
 __all__ = ["DEFLATE", "NODATA", "PLAIN", "Raster", "Window", "decode", "encode", "fields", "heights", "placed", "raster", "read", "unlzw", "write"]
 
 
-def write(cells: DataFrame, path: str, name: str, kind: str = "f4", tile: int = 512, mode: str = "overwrite", geo: Georef = Georef(), compression: int = DEFLATE) -> None:
-    """(row, col, name) as one file a tile; a null is nodata."""
+def write(cells: DataFrame, path: str, name: str, kind: str = "f4", tile: int = 512, mode: str = "overwrite", geo: Georef = Georef(), compression: int = DEFLATE, driver: str = "GTiff") -> None:
+    """(row, col, name) as one file a tile; a null is nodata. driver: GTiff or HFA."""
+    if driver not in ("GTiff", "HFA"):
+        raise ValueError(f"no writer for {driver}")
     dealt = cells.select("row", "col", F.col(name).alias("v"), F.floor(F.col("row") / tile).alias("_r"), F.floor(F.col("col") / tile).alias("_c")).where("v is not null")
 
     def file(t: pa.Table) -> pa.Table:
         r0, c0 = t.column("_r")[0].as_py() * tile, t.column("_c")[0].as_py() * tile
         values = np.full((tile, tile), NODATA, np.dtype(kind))
         values[t.column("row").to_numpy() - r0, t.column("col").to_numpy() - c0] = t.column("v").to_numpy(zero_copy_only=False)
-        return pa.table({"value": pa.array([encode(values, r0, c0, geo, compression)], pa.binary())})
+        data = hfa.encode(values, r0, c0, geo) if driver == "HFA" else encode(values, r0, c0, geo, compression)
+        return pa.table({"value": pa.array([data], pa.binary())})
 
     raw = dealt.groupBy("_r", "_c").applyInArrow(file, "value binary").select(F.col("value").cast("string"))
     raw.write.mode(mode).option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
