@@ -27,43 +27,63 @@ def edges(owned: DataFrame) -> DataFrame:
     return dealt.groupBy("crown_id", "y", "x", "side").count().where("count = 1").drop("count")
 
 
-def rings(mask: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Closed rings (x, y) around a mask with a margin of one cell; corners only.
+#: Steps (x, y) of directed sides in rising order; after each its turns to keep to the same cell where cells touch only at a corner.
+_STEPS = np.array([(-1, 0), (0, -1), (0, 1), (1, 0)])
+_TURNS = np.array([[_STEPS.tolist().index([*t]) for t in ((dy, -dx), (dx, dy), (-dy, dx))] for dx, dy in _STEPS.tolist()])
+
 
-    Each cell has four directed sides with the cell on their left. Where cells touch only at a corner,
-    the walk keeps to the same cell, so they are apart.
+def outlines(stack: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Closed rings around the masks of a stack (n, h, w) with a margin of one cell: the mask's number and corners (x, y), the first again at the end.
+
+    Each cell has four directed sides with the cell on their left. A side's successor is looked up; rings are the cycles, told apart and
+    ranked by pointer jumping. A ring begins at its least corner, and rings come by mask and first corner.
     """
-    m = mask[1:-1, 1:-1]
-    sides = (
-        (m & ~mask[2:, 1:-1], (0, 1), (1, 0)),
-        (m & ~mask[1:-1, 2:], (1, 1), (0, -1)),
-        (m & ~mask[:-2, 1:-1], (1, 0), (-1, 0)),
-        (m & ~mask[1:-1, :-2], (0, 0), (0, 1)),
-    )
-    go = {((int(x) + at[0], int(y) + at[1]), step) for inside, at, step in sides for y, x in zip(*np.nonzero(inside), strict=True)}
-    left, out = sorted(go, reverse=True), []
-    seen = set()
-    while left:
-        start = left.pop()
-        if start in seen:
-            continue
-        walk, (at, step) = [], start
-        while (at, step) not in seen:
-            seen.add((at, step))
-            walk.append((at, step))
-            at = at[0] + step[0], at[1] + step[1]
-            step = next(w for w in ((step[1], -step[0]), step, (-step[1], step[0])) if (at, w) in go)
-        corners = [p for (p, d), (_, before) in zip(walk, [walk[-1], *walk], strict=False) if d != before]
-        out.append([*corners, corners[0]])
-    return out
-
-
-def area2(ring: list[tuple[int, int]]) -> int:
+    m = stack[:, 1:-1, 1:-1]
+    sides = ((m & ~stack[:, :-2, 1:-1], (1, 0)), (m & ~stack[:, 1:-1, 2:], (1, 1)), (m & ~stack[:, 1:-1, :-2], (0, 0)), (m & ~stack[:, 2:, 1:-1], (0, 1)))  # top, right, left, bottom
+    found = [(k, x + at[0], y + at[1], np.full(len(k), d)) for d, (inside, at) in enumerate(sides) for k, y, x in [np.nonzero(inside)]]
+    k, x, y, d = (np.concatenate(c) for c in zip(*found))
+    if not len(k):
+        return []
+    order = np.lexsort((d, y, x, k))
+    k, x, y, d = k[order], x[order], y[order], d[order]
+    each = np.arange(len(k))
+    at = np.full((4, len(stack), m.shape[1] + 1, m.shape[2] + 1), -1)
+    at[d, k, y, x] = each
+    ends = k, y + _STEPS[d, 1], x + _STEPS[d, 0]
+    after = np.full(len(k), -1)
+    for turn in range(3):
+        after = np.where(after < 0, at[(_TURNS[d, turn], *ends)], after)
+    ring, hop = each, after
+    while True:
+        least = np.minimum(ring, ring[hop])
+        if (least == ring).all() and (ring[after] == ring).all():
+            break
+        ring, hop = least, hop[hop]
+    last = after == ring
+    hop, left = np.where(last, each, after), (~last).astype(np.int64)  # sides up to the ring's last
+    while (hop[hop] != hop).any():
+        left, hop = left + left[hop], hop[hop]
+    before = np.empty_like(after)
+    before[after] = each
+    corner = np.flatnonzero(d != d[before])
+    corner = corner[np.lexsort((-left[corner], ring[corner]))]
+    xy = np.column_stack([x, y])
+    starts = np.flatnonzero(np.r_[True, ring[corner][1:] != ring[corner][:-1]])
+    return [(int(k[c[0]]), xy[np.r_[c, c[:1]]]) for c in np.split(corner, starts[1:])]
+
+
+def rings(mask: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The rings around one mask, as lists of corners."""
+    return [list(map(tuple, ring.tolist())) for _, ring in outlines(mask[None])]
+
+
+def area2(ring: np.ndarray) -> int:
     """Twice the signed area in raster coordinates; positive for outer rings here."""
-    return sum(b[0] * a[1] - a[0] * b[1] for a, b in zip(ring, ring[1:], strict=False))
+    x, y = np.asarray(ring).T
+    return int((x[1:] * y[:-1] - x[:-1] * y[1:]).sum())
 
 
-def multipolygon(parts: list[list[list[tuple[int, int]]]], geo: Georef | None = None) -> bytes:
+def multipolygon(parts: list[list[np.ndarray]], geo: Georef | None = None) -> bytes:
     """Little-endian WKB of polygons, each an outer ring and its holes; on the map if geo is given."""
     corner, cell = ((geo.x, geo.y), (geo.width, -geo.height)) if geo else ((0.0, 0.0), (1.0, 1.0))
     out = [struct.pack("<BII", 1, 6, len(parts))]
@@ -71,16 +91,13 @@ def multipolygon(parts: list[list[list[tuple[int, int]]]], geo: Georef | None =
         out.append(struct.pack("<BII", 1, 3, len(polygon)))
         for ring in polygon:
             out.append(struct.pack("<I", len(ring)))
-            out.append((np.array(ring, "<f8") * cell + corner).tobytes())
+            out.append((np.asarray(ring, "<f8") * cell + corner).tobytes())
     return b"".join(out)
 
 
-def _holds(ring: list[tuple[int, int]], p: tuple[float, float]) -> bool:
-    hit = False
-    for (x0, y0), (x1, y1) in zip(ring, ring[1:], strict=False):
-        if (y0 > p[1]) != (y1 > p[1]) and p[0] < x0:
-            hit = not hit
-    return hit
+def _holds(ring: np.ndarray, p: tuple[float, float]) -> bool:
+    (x0, y0), y1 = ring[:-1].T, ring[1:, 1]
+    return bool((((y0 > p[1]) != (y1 > p[1])) & (p[0] < x0)).sum() % 2)
 
 
 def polygons(owned: DataFrame, remove_holes: bool = False, dangles: bool = False, geo: Georef | None = None) -> DataFrame:
@@ -94,10 +111,13 @@ def polygons(owned: DataFrame, remove_holes: bool = False, dangles: bool = False
     def trace(stack, ids, row0, col0, rows):
         found = []
         stack = rooted(stack, ids, row0, col0, rows) if dangles else stack
-        for mask, crown, r, c in zip(stack, ids.tolist(), (row0 + 1).tolist(), (col0 + 1).tolist(), strict=True):
-            outer, holes, length = [], [], 0
-            for ring in rings(mask):
-                ring = [(x + c, y + r) for x, y in ring]
+        by_crown: list[list[np.ndarray]] = [[] for _ in ids]
+        for k, ring in outlines(stack):
+            by_crown[k].append(ring)
+        for own, crown, r, c in zip(by_crown, ids.tolist(), (row0 + 1).tolist(), (col0 + 1).tolist(), strict=True):
+            outer, holes = [], []
+            for ring in own:
+                ring = ring + (c, r)
                 (outer if area2(ring) > 0 else holes).append(ring)
             parts = [[ring] for ring in outer]
             if not remove_holes:
@@ -106,7 +126,7 @@ def polygons(owned: DataFrame, remove_holes: bool = False, dangles: bool = False
                     owner = next((p for p in parts if _holds(p[0], inner)), parts[0])
                     owner.append(hole)
             area = sum(area2(ring) for p in parts for ring in p) / 2
-            length = sum(abs(b[0] - a[0]) * wide + abs(b[1] - a[1]) * high for p in parts for ring in p for a, b in zip(ring, ring[1:], strict=False))
+            length = sum(np.abs(np.diff(ring, axis=0)).sum(axis=0) @ (wide, high) for p in parts for ring in p)
             found.append((crown, len(parts), sum(len(p) - 1 for p in parts), area * wide * high, float(length), multipolygon(parts, geo)))
         names = [x.split()[0] for x in schema.split(", ")]
         return pa.table([pa.array(x) for x in zip(*found)], names=names)

@@ -199,3 +199,38 @@ def test_smoothing_equals_plain_sums(spark, window, sigma, tile):
         want.append((r, c, z, abs(num) // den * (1 if num >= 0 else -1)))
     df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "row long, col long, z long")
     assert sorted(map(tuple, smooth.gaussian(df, window, sigma, tile).collect())) == sorted(want)
+
+
+def plain_rings(mask):
+    """The walk side by side."""
+    m = mask[1:-1, 1:-1]
+    sides = ((m & ~mask[2:, 1:-1], (0, 1), (1, 0)), (m & ~mask[1:-1, 2:], (1, 1), (0, -1)), (m & ~mask[:-2, 1:-1], (1, 0), (-1, 0)), (m & ~mask[1:-1, :-2], (0, 0), (0, 1)))
+    go = {((int(x) + at[0], int(y) + at[1]), step) for inside, at, step in sides for y, x in zip(*np.nonzero(inside), strict=True)}
+    out, seen = [], set()
+    for start in sorted(go):
+        walk, here = [], start
+        while here not in seen:
+            seen.add(here)
+            walk.append(here)
+            (x, y), (dx, dy) = here
+            end = x + dx, y + dy
+            here = end, next(w for w in ((dy, -dx), (dx, dy), (-dy, dx)) if (end, w) in go)
+        if walk:
+            corners = [p for (p, d), (_, before) in zip(walk, [walk[-1], *walk]) if d != before]
+            out.append([*corners, corners[0]])
+    return out
+
+
+def test_outlines_equal_the_plain_walk():
+    rng = np.random.default_rng(8)
+    stack = np.zeros((40, 15, 19), bool)
+    stack[:, 1:-1, 1:-1] = rng.random((40, 13, 17)) < np.linspace(0, 1, 40)[:, None, None]
+    found = [[] for _ in stack]
+    for k, ring in polygons.outlines(stack):
+        found[k].append(list(map(tuple, ring.tolist())))
+    assert found == [plain_rings(m) for m in stack]
+    big = np.zeros((1, 1001, 1001), bool)
+    big[0, 1:-1, 1:-1] = np.hypot(*np.mgrid[-499:500, -499:500]) < 499
+    began = time.perf_counter()
+    ((_, ring),) = polygons.outlines(big)
+    assert time.perf_counter() - began < 1 and polygons.area2(ring) == 2 * big.sum()
