@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import wkb
 from .crowns import per_crown, placed, rooted
 from .grid import Georef
 
@@ -134,6 +135,21 @@ def polygons(owned: DataFrame, remove_holes: bool = False, dangles: bool = False
     return per_crown(placed(owned), schema, trace)
 
 
+def ring_texts(shapes: DataFrame) -> DataFrame:
+    """(crown_id, ring) for each ring of shapes (crown_id, geom) in cells: its corners as "x y,x y", from the least on."""
+
+    def told(it):
+        for b in it:
+            crown, text = [], []
+            for k, geom in zip(b.column("crown_id").to_pylist(), b.column("geom").to_pylist(), strict=True):
+                for ring in wkb.rings_of(geom):
+                    crown.append(k)
+                    text.append(",".join(f"{x:g} {y:g}" for x, y in ring.tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(crown, pa.int64()), pa.array(text, pa.string())], names=["crown_id", "ring"])
+
+    return shapes.select("crown_id", "geom").mapInArrow(told, "crown_id long, ring string")
+
+
 def with_attributes(shapes: DataFrame, found: DataFrame) -> DataFrame:
     """Polygons with the attributes of their crown's top."""
     extra = [c for c in found.columns if c not in shapes.columns and c != "top_id"]

@@ -120,6 +120,11 @@ def crowns_polygons(spark, sf_dir):
     return polygons.polygons(_owned(spark, sf_dir)[2], dangles=True)
 
 
+def crowns_outlines(spark, sf_dir):
+    """The rings of the polygons, corner by corner."""
+    return polygons.ring_texts(crowns_polygons(spark, sf_dir))
+
+
 def crowns_shapes(spark, sf_dir):
     """The polygons without their geometry."""
     return crowns_polygons(spark, sf_dir).drop("geom")
@@ -165,7 +170,7 @@ def vector_format_switch(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     chm_scan, smoothed_sink_f32, smooth_gaussian, smooth_skip, tops_height_class, tops_local_max, tops_plateau, tops_max_nulls, tops_points, tops_full, crowns_class, crowns_flood, crowns_owner,
-    crowns_raster_i32, crowns_remove_dangles, crowns_remove_holes, crowns_zonal, crowns_edges, crowns_polygons, crowns_shapes, crowns_attributes, crowns_update_heights, crowns_keep_smoothed, vector_sink, vector_format_switch,
+    crowns_raster_i32, crowns_remove_dangles, crowns_remove_holes, crowns_zonal, crowns_edges, crowns_polygons, crowns_outlines, crowns_shapes, crowns_attributes, crowns_update_heights, crowns_keep_smoothed, vector_sink, vector_format_switch,
 )}
 
 
@@ -247,6 +252,15 @@ ORACLES = {
         JOIN g b ON b.crown_id = a.crown_id AND b.row = a.row + v.dr AND b.col = a.col + v.dc GROUP BY ALL HAVING count(*) = 3) GROUP BY crown_id)
       SELECT crown_id, 1::BIGINT AS n_parts, (1 - cells + coalesce(pairs, 0) - coalesce(blocks, 0))::BIGINT AS n_holes, cells::DOUBLE AS area, (4 * cells - 2 * coalesce(pairs, 0))::DOUBLE AS perimeter
       FROM n LEFT JOIN p USING (crown_id) LEFT JOIN q USING (crown_id)""",
+    "crowns_outlines": _OWN + ", " + _dangles() + """, d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY crown_id, x, y, dx, dy) AS id, * FROM (
+        SELECT crown_id, col + v.ax AS x, row + v.ay AS y, v.dx, v.dy FROM g CROSS JOIN (VALUES (0, 1, 1, 0, -1, 0), (1, 0, 1, 1, 0, -1), (-1, 0, 0, 0, 0, 1), (0, -1, 0, 1, 1, 0)) v(nc, nr, ax, ay, dx, dy)
+        WHERE NOT EXISTS (SELECT 1 FROM g o WHERE o.crown_id = g.crown_id AND o.row = g.row - v.nr AND o.col = g.col + v.nc))),
+      nx AS MATERIALIZED (SELECT a.id, arg_min(b.id, CASE WHEN (b.dx, b.dy) = (a.dy, -a.dx) THEN 0 WHEN (b.dx, b.dy) = (a.dx, a.dy) THEN 1 ELSE 2 END) AS after
+        FROM d a JOIN d b ON b.crown_id = a.crown_id AND b.x = a.x + a.dx AND b.y = a.y + a.dy WHERE (b.dx, b.dy) <> (-a.dx, -a.dy) GROUP BY a.id),
+      w AS (SELECT id AS s, id AS at, 0 AS n FROM d UNION ALL SELECT w.s, nx.after, n + 1 FROM w JOIN nx ON nx.id = w.at WHERE nx.after > w.s),
+      r AS (SELECT w.s FROM w JOIN nx ON nx.id = w.at WHERE nx.after = w.s),
+      e AS (SELECT w.s, w.n, d.crown_id, d.x, d.y FROM w JOIN r USING (s) JOIN d ON d.id = w.at JOIN nx p ON p.after = d.id JOIN d q ON q.id = p.id WHERE (q.dx, q.dy) <> (d.dx, d.dy))
+      SELECT crown_id, string_agg(x || ' ' || y, ',' ORDER BY n) || ',' || arg_min(x || ' ' || y, n) AS ring FROM e GROUP BY s, crown_id""",
     "crowns_attributes": _OWN + ", " + _EDGES + """, p AS (SELECT crown_id, count(*) AS perimeter FROM e GROUP BY crown_id), a AS (SELECT crown_id, count(*) AS area FROM own GROUP BY crown_id)
       SELECT crown_id, area::DOUBLE AS area, perimeter::DOUBLE AS perimeter, t.row, t.col, t.z FROM a JOIN p USING (crown_id) JOIN t ON top_id = crown_id""",
     "crowns_update_heights": _SMOOTH_OWN + _UPDATED + " SELECT top_id, coalesce(most, z) AS z, zs FROM t LEFT JOIN u ON crown_id = top_id",

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.wkb import rings_of
+
 #: Bytes that a Shapefile can hold, and of a point and its record.
 SHAPEFILE_LIMIT, POINT_RECORD = 2 * 1000**3, 28
 #: Bytes of geometry and attributes in a file that a task writes.
@@ -168,19 +170,6 @@ def point_xy(geom: Column) -> tuple[Column, Column]:
     return both[0].alias("x"), both[1].alias("y")
 
 
-def rings_of(wkb: bytes) -> list[np.ndarray]:
-    """All rings (n, 2) of a multipolygon's polygons, outer ones before their holes."""
-    (n,), at, out = struct.unpack_from("<I", wkb, 5), 9, []
-    for _ in range(n):
-        (k,) = struct.unpack_from("<I", wkb, at + 5)
-        at += 9
-        for _ in range(k):
-            (m,) = struct.unpack_from("<I", wkb, at)
-            out.append(np.frombuffer(wkb, "<f8", 2 * m, at + 4).reshape(-1, 2))
-            at += 4 + 16 * m
-    return out
-
-
 def _signed(ring: np.ndarray) -> float:
     x, y = ring.T
     return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2)
