@@ -22,7 +22,7 @@ tasks. The sample only chooses the way, never the result.
 
 Two deviations from the textbook method, for the limits on disk and CPU: suffixes are sorted by the
 64-bit hash of their first ``length`` bytes rather than by the bytes, as only matches of that length
-count; and only suffixes that can have a match reach the index. Whole contexts are told apart by 128 bits of two unlike hashes,
+count; and only suffixes that can have a match reach the index. Whole contexts are told apart by 64 bits of two unlike hashes joined into one,
 windows of common anchors by 64 bits.
 
 Chunks of text are compressed once into the shared folder; later passes read them there.
