@@ -131,16 +131,14 @@ def shared_spans(docs: DataFrame, items: Items) -> DataFrame:
 
 
 def _union(spans: Column) -> Column:
-    """Maximal runs (start, n) of sorted spans (start, n) that overlap or touch."""
+    """Maximal runs (start, n) of the words in spans (start, n), in order."""
 
-    def add(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        end = last["start"] + last["n"]
-        grown = F.struct(last["start"].alias("start"), (F.greatest(end, s["start"] + s["n"]) - last["start"]).alias("n"))
-        before = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when((F.size(acc) > 0) & (s["start"] <= end), F.concat(before, F.array(grown))).otherwise(F.concat(acc, F.array(s)))
+    def runs(words: Column) -> Column:
+        starts = F.filter(words, lambda w, i: (i == 0) | (w - F.get(words, i - 1) > 1))
+        ends = F.filter(words, lambda w, i: (i == F.size(words) - 1) | (F.get(words, i + 1) - w > 1))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("n")))
 
-    return F.aggregate(spans, F.slice(spans, 1, 0), add)
+    return let(F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))), runs)
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
@@ -149,7 +147,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     text = text_of(F.col("text"))
     bench = Items(items, span, k)
     found = shared_spans(docs.select(key_of(text).alias("key"), text.alias("text")), bench)
-    runs = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("s")).select("key", _union(F.col("s")).alias("hit_spans"))
+    runs = found.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("s")).select("key", _union(F.col("s")).alias("hit_spans"))
     named = found.select("key", "span_id").distinct().join(bench.members, "span_id").groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("hit_items"))
     known = save(runs.join(named, "key").withColumnRenamed("key", "_key"), "contaminated")
     n_words = F.size(F.array_remove(F.split(text, BETWEEN_ANY), "")).cast("long")
