@@ -84,6 +84,15 @@ def place(data) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist([{**vars(geo), "keys": list(geo.keys), "doubles": list(geo.doubles)}], _KINDS["place"])
 
 
+def files_under(uri: str) -> list[tuple[str, int]]:
+    """Path and size of the files under an URI of Arrow that hold bytes and aren't hidden, in order."""
+    fs, base = pafs.FileSystem.from_uri(uri)
+    there = fs.get_file_info(base)
+    found = [there] if there.is_file else fs.get_file_info(pafs.FileSelector(base, recursive=True))
+    hidden = re.compile(r"(^|/)[._][^/]*(/|$)")
+    return sorted((f.path, f.size) for f in found if f.is_file and f.size and not hidden.search(f.path[len(base) :]))
+
+
 @dataclass
 class Part(InputPartition):
     """Files, and which share (k, n) of the blocks of each."""
@@ -129,12 +138,7 @@ class Reader(DataSourceReader):
         self.window = Window(*(float(options[k]) for k in _BOUNDS))
 
     def partitions(self) -> list[Part]:
-        fs, base = pafs.FileSystem.from_uri(self.path)
-        there = fs.get_file_info(base)
-        found = [there] if there.is_file else fs.get_file_info(pafs.FileSelector(base, recursive=True))
-        hidden = re.compile(r"(^|/)[._][^/]*(/|$)")
-        files = sorted((f.path, f.size) for f in found if f.is_file and f.size and not hidden.search(f.path[len(base) :]))
-        return parts(files, self.task_bytes if self.what == "cells" else 1 << 62)
+        return parts(files_under(self.path), self.task_bytes if self.what == "cells" else 1 << 62)
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(self.path)
@@ -144,7 +148,7 @@ class Reader(DataSourceReader):
                 yield from cells(data, self.band, self.window, partition.share) if self.what == "cells" else place(data)
 
 
-def _uri(spark: SparkSession, path: str) -> str | None:
+def arrow_uri(spark: SparkSession, path: str) -> str | None:
     """path as an URI of Arrow; None if Arrow can't open it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
@@ -161,7 +165,7 @@ def _uri(spark: SparkSession, path: str) -> str | None:
 
 def table(spark: SparkSession, path: str, what: str, band: int = 1, task_bytes: int = TASK_BYTES, window: Window = Window()) -> DataFrame:
     """The cells of all files under path in a window, or where the files' grids lie."""
-    uri = _uri(spark, path)
+    uri = arrow_uri(spark, path)
     if uri:
         spark.dataSource.register(Blocks)
         bounds = {k: str(getattr(window, k)) for k in _BOUNDS}
