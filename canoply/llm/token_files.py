@@ -27,6 +27,7 @@ import struct
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from .store import lean, new_path, save, table
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
-DOCS_AT_ONCE, IDS_A_SHARD, BYTES_A_TASK, KEYS_A_BUCKET, CACHED = 1024, 1 << 22, 64 << 20, 1 << 14, 500_000
+DOCS_AT_ONCE, IDS_A_SHARD, BYTES_A_TASK, KEYS_A_BUCKET, CACHED = 256, 1 << 22, 64 << 20, 1 << 14, 150_000
 MAGIC, INDEX_MAGIC = b"CNPIDS02", b"CNPMPH02"
 
 #: Characters that are white space for no engine; a blank after one of them begins a token.
@@ -57,6 +58,7 @@ class Pieces:
     def __init__(self, kind: np.dtype):
         self.ids, self.used = np.empty(1 << 16, kind), 0
         self.start, self.size, self.whole, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), np.empty(1 << 14, bool), 0
+        self.hits = np.zeros(1 << 14, np.int64)  # batches that asked for a piece, lately
         self.known: dict[str, int] = {}
 
     def add(self, lists: list[list[int]], whole: list[bool]) -> int:
@@ -64,16 +66,30 @@ class Pieces:
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter((i for x in lists for i in x), self.ids.dtype, int(size.sum()))
         while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            self.ids = np.concatenate([self.ids, np.empty(max(1 << 16, len(self.ids) >> 1), self.ids.dtype)])
         while self.n + len(lists) > len(self.start):
-            self.start, self.size, self.whole = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size, self.whole))
+            self.start, self.size, self.whole, self.hits = (np.concatenate([x, np.zeros(max(1 << 14, len(x) >> 1), x.dtype)]) for x in (self.start, self.size, self.whole, self.hits))
         self.ids[self.used : self.used + len(flat)] = flat
         new = slice(self.n, self.n + len(lists))
-        self.start[new], self.size[new], self.whole[new] = self.used + np.cumsum(size) - size, size, whole
+        self.start[new], self.size[new], self.whole[new], self.hits[new] = self.used + np.cumsum(size) - size, size, whole, 0
         self.used += len(flat)
         self.n += len(lists)
         return new.start
 
+    def common(self, most: int) -> Pieces:
+        """Only the pieces that more than one batch asked for; the most asked for, if these are too many."""
+        hits = self.hits[: self.n]
+        keep = np.flatnonzero(hits > 1)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argpartition(hits[keep], -most)[-most:]])
+        out, size = Pieces(self.ids.dtype), self.size[keep]
+        out.ids, out.used, out.n = self.joined(keep), int(size.sum()), len(keep)
+        out.start, out.size, out.whole, out.hits = np.cumsum(size) - size, size, self.whole[keep], hits[keep] >> 1
+        kept = np.zeros(self.n, bool)
+        kept[keep] = True
+        out.known = {k: i for i, k in enumerate(compress(self.known, kept.tolist()))}  # in the order of their numbers
+        return out
+
     def joined(self, codes: np.ndarray) -> np.ndarray:
         size = self.size[codes]
         return self.ids[np.repeat(self.start[codes] - np.cumsum(size) + size, size) + np.arange(size.sum())]
@@ -100,9 +116,6 @@ class Encoder:
         prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in prints)}
         self.blank, self.line, self.model = chr(self.alphabet[32]), chr(self.alphabet[10]), self.tok.model
-        self.forget()
-
-    def forget(self) -> None:
         self.pieces = Pieces(self.kind)
         self.loose: dict[str, list[int]] = {}  # pieces with all their white space
 
@@ -139,7 +152,9 @@ class Encoder:
             first = self.pieces.add(lists, [not k or bool(_ENDS.match(k, len(k) - 1)) for k in new])
             known.update(zip(new, range(first, first + len(new)), strict=True))
             found = [known[k] if i < 0 else i for k, i in zip(keys, found, strict=True)]
-        return np.array(found, np.int64)
+        codes = np.array(found, np.int64)
+        self.pieces.hits[codes] += 1
+        return codes
 
     def parts(self, pieces: pa.Array, head: bool) -> np.ndarray:
         """Of pieces (what follows a blank or begins with a line break; head: what begins a text) a row of three numbers: line break, word, marks."""
@@ -167,8 +182,10 @@ class Encoder:
 
     def batch(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has; end is put after each text."""
-        if self.pieces.n + len(self.loose) > CACHED:
-            self.forget()
+        if self.pieces.n > CACHED:
+            self.pieces = self.pieces.common(CACHED // 2)
+        if len(self.loose) > CACHED:
+            self.loose.clear()
         texts = pc.fill_null(texts, "")
         odd = np.array([not self.plain] * len(texts), bool)
         for s in self.special:
@@ -208,12 +225,12 @@ def encoder(name: str) -> Encoder:
 _HEAD = struct.calcsize("<8sqQQQ")
 
 
-def shard_bytes(shard: int, width: int, keys: pa.Array, sizes: np.ndarray, payload: bytes) -> bytes:
+def shard_bytes(shard: int, width: int, keys: pa.Array, sizes: np.ndarray, payload: list[pa.Buffer]) -> bytes:
     null = keys.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
     ids = keys.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")
     head = struct.pack("<8sqQQQ", MAGIC, shard, len(keys), int(starts[-1]), width)
-    return b"".join([head, ids.tobytes(), null.tobytes(), starts.tobytes(), payload])
+    return b"".join([head, ids.tobytes(), null.tobytes(), starts.tobytes(), *payload])
 
 
 def open_shard(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -228,6 +245,12 @@ def open_shard(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np
     return shard, keys, null, starts, np.frombuffer(data, f"<u{width}", total, at + 9 * n + 8 * (n + 1))
 
 
+def values(column: pa.Array) -> pa.Buffer:
+    """The bytes of binary values that lie one after the other, without a copy."""
+    at = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1]
+    return column.buffers()[2].slice(int(at[0]), int(at[-1] - at[0]))
+
+
 def as_bytes(ids: np.ndarray, n: np.ndarray) -> pa.Array:
     """The ids of each text as a binary value."""
     at = pa.py_buffer(np.concatenate([[0], np.cumsum(n) * ids.itemsize]).astype(np.int64))
@@ -278,14 +301,15 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
     rows = encoded(docs, tokenizer, end_id, place).repartitionById(tasks, "task")
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row").select("doc_id", "ids", "n")
 
+    width = encoder(tokenizer).kind.itemsize
+
     def shards(it):
-        kind = encoder(tokenizer).kind
         number = TaskContext.get().partitionId() << 24
         held, have = [], 0
 
         def done():
             t = pa.Table.from_batches(held)
-            data = shard_bytes(number, kind.itemsize, t.column("doc_id").combine_chunks(), t.column("n").to_numpy(), b"".join(t.column("ids").to_pylist()))
+            data = shard_bytes(number, width, t.column("doc_id").combine_chunks(), t.column("n").to_numpy(), list(map(values, t.column("ids").chunks)))
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([data], pa.binary())], names=["shard", "value"])
 
         for b in it:
