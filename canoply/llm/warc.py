@@ -7,11 +7,13 @@ occur more than once, and these meet the pages again (Spark broadcasts them whil
 shuffled once). Files are bounded by bytes: records of at most SMALL bytes of html and url go RECORDS_A_FILE to a file, longer ones
 fewer, the longest one to a file.
 
-Reading: files come as binary rows. A record must have a version line, well-formed headers, its whole
+Reading: a data source of Spark's in Python deals files to tasks of about TASK_BYTES; a task reads a file in pieces of
+PIECE bytes and holds one record, so archives may have any size (a file isn't cut, as only what comes before tells whether a
+version line begins a record or lies in one). Archives on file systems that only Spark opens come as binary rows of 2 GB at most. A record must have a version line, well-formed headers, its whole
 block and end marker, and matching digests; a gzip member must inflate to its trailer. After a failed
 check the reader looks for the next member or version line, inside a member for the next version line of
 its content, goes on there, and logs the bytes between as a quarantined gap. Of a damaged member it reads
-what inflates up to the damage.
+what inflates up to the damage. A member is inflated as a whole: it is a record, as a rule.
 
 Defined cases: a null html is an empty payload; a null url gives no target line; line breaks in urls
 are percent-encoded; a null page_id is kept and refers to nothing if no page has an id; repeated rows
@@ -27,20 +29,25 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from canoply.sources import blocks
 
 from .store import new_path, save, table, text_of
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 SMALL, RECORDS_A_FILE = 1 << 17, 2000
+TASK_BYTES, PIECE, ROWS = 64 << 20, 4 << 20, 1000
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _HEX, _B32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-_NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
-_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_VERSIONS, _MEMBER = (b"WARC/1.0\r\n", b"WARC/1.1\r\n"), b"\x1f\x8b\x08"
 _HEADER = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*([^\r\n]*)")
 SCHEMA = "kind string, path string, at long, length long, reason string, type string, record_id string, refers_to string, uri string, payload_digest string, payload_bytes long, payload binary"
 
@@ -99,13 +106,69 @@ def write(pages: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE, sma
             records(own).write.option("lineSep", END).option("maxRecordsPerFile", many).mode("append").text(path)
 
 
+class Ranged:
+    """An open file as far as the reader needs bytes: slices, len, find and startswith. It holds the two pieces read last; what begins in one and ends behind it is read anew."""
+
+    def __init__(self, file: pa.NativeFile, piece: int = PIECE):
+        self.file, self.piece, self.size = file, piece, file.size()
+        self.held: list[tuple[int, bytes]] = []
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _piece(self, at: int) -> tuple[int, bytes] | None:
+        """The held piece where a place lies."""
+        return next((x for x in self.held if x[0] <= at < x[0] + len(x[1])), None)
+
+    def _load(self, at: int) -> tuple[int, bytes]:
+        self.held = [(at, self.file.read_at(min(self.piece, self.size - at), at)), *self.held[:1]]
+        return self.held[0]
+
+    def __getitem__(self, part: slice) -> bytes:
+        lo, hi, _ = part.indices(self.size)
+        if lo >= hi:
+            return b""
+        got = self._piece(lo)
+        if hi - lo > self.piece or got and hi > got[0] + len(got[1]):
+            return self.file.read_at(hi - lo, lo)
+        start, held = got or self._load(lo)
+        return held[lo - start : hi - start]
+
+    def startswith(self, what: tuple[bytes, ...] | bytes, at: int) -> bool:
+        return self[at : at + 16].startswith(what)
+
+    def find(self, what: bytes, at: int, end: int | None = None) -> int:
+        end = self.size if end is None else min(end, self.size)
+        while at < end:
+            start, held = self._piece(at) or self._load(at)
+            found = held.find(what, at - start, end - start)
+            if found >= 0:
+                return start + found
+            if start + len(held) >= end:
+                break
+            at = max(at, start + len(held) - len(what) + 1)
+            self._load(at)
+        return -1
+
+
+def ahead(data: bytes | Ranged, at: int, marks: tuple[bytes, ...], piece: int = PIECE // 4) -> int:
+    """The first place from at on where one of the marks lies; the end of data if none does."""
+    most = max(map(len, marks)) - 1
+    while at < len(data):
+        found = [x for x in (data.find(m, at, at + piece) for m in marks) if x >= 0]
+        if found:
+            return min(found)
+        at += piece - most
+    return len(data)
+
+
 def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
+def parse(data: bytes | Ranged, at: int) -> tuple[int, dict[str, str], bytes] | str:
     """The record at a place: its end, headers and block, or what is wrong."""
-    if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
+    if not data.startswith(_VERSIONS, at):
         return "no version line"
     top = data.find(b"\r\n\r\n", at)
     if top < 0:
@@ -140,7 +203,7 @@ def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes, int]:
     return payload, int(said[1]) if said and headers.get("warc-type") == "revisit" else len(payload)
 
 
-def member(data: bytes, at: int) -> tuple[int, bytes, str | None]:
+def member(data: bytes | Ranged, at: int) -> tuple[int, bytes, str | None]:
     """The gzip member at a place: its end, what it inflates to up to any damage, and what is wrong."""
     inflate, out, pos, why = zlib.decompressobj(31), [], at, None
     step = 1 << 16
@@ -166,15 +229,14 @@ def inside(content: bytes) -> tuple[list[tuple[dict[str, str], bytes]], str | No
         one = parse(content, pos)
         if isinstance(one, str):
             why = why or one
-            ahead = _VERSION.search(content, pos + 1)
-            pos = ahead.start() if ahead else len(content)
+            pos = ahead(content, pos + 1, _VERSIONS)
         else:
             found.append(one[1:])
             pos = one[0]
     return found, why
 
 
-def salvage(data: bytes) -> Iterator[tuple]:
+def salvage(data: bytes | Ranged) -> Iterator[tuple]:
     """('record', start, end, headers, block) and ('gap', start, end, reason), in order, over all bytes.
 
     A whole member with a bad record gives its other records and a gap over the same bytes.
@@ -183,7 +245,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
     while at < len(data):
         inner: list[tuple] = []
         wrong = None  # in a whole member
-        if data.startswith(b"\x1f\x8b\x08", at):
+        if data.startswith(_MEMBER, at):
             end, content, got = member(data, at)
             inner, wrong = inside(content)
         else:
@@ -197,8 +259,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
                 yield "record", at, at, headers, block
             if bad is None:
                 bad, why = at, got
-            ahead = _NEXT.search(data, at + 1)
-            at = ahead.start() if ahead else len(data)
+            at = ahead(data, at + 1, (*_VERSIONS, _MEMBER))
             continue
         if bad is not None:
             yield "gap", bad, at, why
@@ -212,24 +273,86 @@ def salvage(data: bytes) -> Iterator[tuple]:
         yield "gap", bad, len(data), why
 
 
-def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+_S, _I = pa.string(), pa.int64()
+_KINDS = pa.schema(list(zip((x.split()[0] for x in SCHEMA.split(", ")), [_S, _S, _I, _I, _S, _S, _S, _S, _S, _S, _I, pa.binary()], strict=True)))
+
+
+def rows_of(name: str, data: bytes | Ranged, payloads: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of an archive, in batches of bounded rows and of about PIECE bytes of payload."""
+    rows, have = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS.types, strict=True)], schema=_KINDS)
+
+    for kind, start, end, *rest in salvage(data):
+        if kind == "gap":
+            rows.append((kind, name, start, end - start, rest[0], *[None] * 7))
+        else:
+            h, (payload, size) = rest[0], payload_of(*rest)
+            rows.append((kind, name, start, end - start, None, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"), size, payload if payloads else None))
+            have += len(payload) * payloads
+        if len(rows) >= ROWS or have >= PIECE:
+            yield batch()
+            rows, have = [], 0
+    if rows:
+        yield batch()
+
+
+@dataclass
+class Files(InputPartition):
+    """Archives of one task."""
+
+    files: list[str]
+
+
+class Archives(DataSource):
+    """Options: path (an URI of Arrow), payloads and task_bytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "canoply_warc"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return ArchiveReader(self.options)
+
+
+class ArchiveReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.payloads, self.task_bytes = options["path"], options["payloads"] == "true", int(options["task_bytes"])
+
+    def partitions(self) -> list[Files]:
+        out: list[Files] = []
+        have = self.task_bytes
+        for path, size in blocks.files_under(self.path):
+            if have + size > self.task_bytes:
+                out.append(Files([]))
+                have = 0
+            out[-1].files.append(path)
+            have += size
+        return out or [Files([])]
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(self.path)
+        for path in partition.files:
+            with fs.open_input_file(path) as file:
+                yield from rows_of(path, Ranged(file), self.payloads)
+
+
+def read(spark: SparkSession, path: str, payloads: bool = False, task_bytes: int = TASK_BYTES) -> DataFrame:
     """A row for each record and each quarantined gap of the archives under path."""
+    uri = blocks.arrow_uri(spark, path)
+    if uri:
+        spark.dataSource.register(Archives)
+        return spark.read.format(Archives.name()).options(payloads=str(payloads).lower(), task_bytes=task_bytes).load(uri)
 
     def batches(it):
         for b in it:
-            rows = []
             for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                for kind, start, end, *rest in salvage(bytes(content.as_buffer())):
-                    if kind == "gap":
-                        rows.append((kind, name, start, end - start, rest[0], *[None] * 7))
-                    else:
-                        h, (payload, size) = rest[0], payload_of(*rest)
-                        rows.append((kind, name, start, end - start, None, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"), size, payload if payloads else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=names) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], names=names)
-
-    s, i, y = pa.string(), pa.int64(), pa.binary()
-    kinds = [s, s, i, i, s, s, s, s, s, s, i, y]
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+                yield from rows_of(name, bytes(content.as_buffer()), payloads)
+
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(batches, SCHEMA)
 
 
