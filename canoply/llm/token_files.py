@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .store import lean, new_path, save, table
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
-DOCS_AT_ONCE, IDS_A_SHARD, BYTES_A_TASK, KEYS_A_BUCKET, CACHED = 256, 1 << 22, 64 << 20, 1 << 14, 150_000
+DOCS_AT_ONCE, IDS_A_SHARD, BYTES_A_TASK, KEYS_A_BUCKET, CACHED = 1024, 1 << 22, 64 << 20, 1 << 14, 300_000
 MAGIC, INDEX_MAGIC = b"CNPIDS02", b"CNPMPH02"
 
 #: Characters that are white space for no engine; a blank after one of them begins a token.
