@@ -27,6 +27,7 @@ import struct
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from .store import lean, new_path, save, table
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
-DOCS_AT_ONCE, IDS_A_SHARD, BYTES_A_TASK, KEYS_A_BUCKET, CACHED = 1024, 1 << 22, 64 << 20, 1 << 14, 500_000
+DOCS_AT_ONCE, IDS_A_SHARD, BYTES_A_TASK, KEYS_A_BUCKET, CACHED, WORDS_AT_ONCE = 1024, 1 << 22, 64 << 20, 1 << 14, 500_000, 512
 MAGIC, INDEX_MAGIC = b"CNPIDS02", b"CNPMPH02"
 
 #: Characters that are white space for no engine; a blank after one of them begins a token.
@@ -59,19 +60,17 @@ class Pieces:
         self.start, self.size, self.whole, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), np.empty(1 << 14, bool), 0
         self.known: dict[str, int] = {}
 
-    def add(self, lists: list[list[int]], whole: list[bool]) -> int:
-        """The number of the first of these; whole: a cut may follow."""
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), self.ids.dtype, int(size.sum()))
+    def add(self, flat: np.ndarray, size: np.ndarray, whole: list[bool]) -> int:
+        """The number of the first of these, size ids each; whole: a cut may follow."""
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while self.n + len(lists) > len(self.start):
+        while self.n + len(size) > len(self.start):
             self.start, self.size, self.whole = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size, self.whole))
         self.ids[self.used : self.used + len(flat)] = flat
-        new = slice(self.n, self.n + len(lists))
+        new = slice(self.n, self.n + len(size))
         self.start[new], self.size[new], self.whole[new] = self.used + np.cumsum(size) - size, size, whole
         self.used += len(flat)
-        self.n += len(lists)
+        self.n += len(size)
         return new.start
 
     def joined(self, codes: np.ndarray) -> np.ndarray:
@@ -99,6 +98,8 @@ class Encoder:
         # byte-level alphabet: a byte that prints stands for itself, the others follow from 256 on
         prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in prints)}
+        self.begins = np.zeros(size, bool)  # tokens that begin with a blank
+        self.begins[[i for t, i in self.tok.get_vocab(with_added_tokens=True).items() if t.startswith(chr(self.alphabet[32]))]] = True
         self.blank, self.line, self.model = chr(self.alphabet[32]), chr(self.alphabet[10]), self.tok.model
         self.forget()
 
@@ -129,17 +130,41 @@ class Encoder:
             signs = text.encode().decode("latin-1").translate(self.alphabet)
         return [t.id for t in self.model.tokenize(signs)]
 
+    def laid(self, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """The lists one after the other, and their sizes."""
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), self.kind, int(size.sum())), size
+
+    def worded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, a blank and then letters alone each: as one text, which is cut where a token begins with a blank."""
+        texts = ["".join(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        if not any(s in t for s in self.special for t in texts):
+            flat, _ = self.laid(self.all(texts))
+            at = np.flatnonzero(self.begins[flat])
+            if len(at) == len(words):
+                return flat, np.diff(at, append=len(flat))
+        return self.laid([self.model_ids(w) for w in words])
+
     def codes(self, texts: pa.Array, single: bool) -> np.ndarray:
-        """The numbers of texts among the known pieces; single: each is one token of the pre-tokenizer, or empty."""
-        keys, known = texts.to_pylist(), self.pieces.known
-        found = [known.get(k, -1) for k in keys]
-        new = list(dict.fromkeys(k for k, i in zip(keys, found, strict=True) if i < 0))
-        if new:
-            lists = [self.model_ids(k) for k in new] if single else self.all(new)
-            first = self.pieces.add(lists, [not k or bool(_ENDS.match(k, len(k) - 1)) for k in new])
+        """The numbers of texts among the known pieces; single: each is one token of the pre-tokenizer (letters alone, if it begins with a blank), or empty."""
+        keys, known = texts.to_numpy(zero_copy_only=False).tolist(), self.pieces.known
+        found = np.fromiter(map(known.get, keys, repeat(-1)), np.int64, len(keys))
+        miss = np.flatnonzero(found < 0)
+        if len(miss):
+            wanted = [keys[i] for i in miss.tolist()]
+            new = list(dict.fromkeys(wanted))
+            if single:
+                words = [k for k in new if k[:1] == " "]
+                rest = [k for k in new if k[:1] != " "]
+                new, whole = words + rest, [True] * len(words) + [k != "\n" for k in rest]
+                flat, size = (np.concatenate(x) for x in zip(self.worded(words), self.laid([self.model_ids(k) for k in rest]), strict=True))
+            else:
+                whole = [not k or bool(_ENDS.match(k, len(k) - 1)) for k in new]
+                flat, size = self.laid(self.all(new))
+            first = self.pieces.add(flat, size, whole)
             known.update(zip(new, range(first, first + len(new)), strict=True))
-            found = [known[k] if i < 0 else i for k, i in zip(keys, found, strict=True)]
-        return np.array(found, np.int64)
+            found[miss] = np.fromiter(map(known.__getitem__, wanted), np.int64, len(wanted))
+        return found
 
     def parts(self, pieces: pa.Array, head: bool) -> np.ndarray:
         """Of pieces (what follows a blank or begins with a line break; head: what begins a text) a row of three numbers: line break, word, marks."""
@@ -147,7 +172,7 @@ class Encoder:
         body = pc.if_else(line, pc.utf8_slice_codeunits(pieces, 1), pieces)
         simple = pc.match_substring_regex(body, _PLAIN)
         blank = pc.if_else(pc.or_(line, head), "", " ")
-        out = np.empty((len(pieces), 3), np.int64)
+        out = np.empty((len(pieces), 3), np.int32)
         out[:] = self.codes(pa.array([""]), True)
         at = np.flatnonzero(simple.to_numpy(zero_copy_only=False))
         own = body.take(pa.array(at))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from canoply.llm import store, token_files
 
@@ -39,3 +40,20 @@ def test_other_tokenizers_are_not_cut():
     code = token_files.encoder("word_bpe_49k.json")
     for t in ("The Tree  of\nthe crown, é!", "", " a"):
         assert not code.plain and code.one(t) == code.whole(t)
+
+
+def test_new_words_are_encoded_together(monkeypatch):
+    rng = random.Random(2)
+    code = token_files.Encoder(token_files.TOKENIZER)
+    word = lambda: "".join(rng.choice("abcdefgXYZéßøɏÀ") for _ in range(rng.randint(1, 14)))
+    texts = [" ".join(word() + rng.choice(["", "", ",", "."]) for _ in range(200)) for _ in range(20)] + ["", " ", None, "a\nb  c", "don't it's", "x 12 <|y|> z\n\n"]
+    want = [np.frombuffer(code.whole(t or ""), code.kind).tolist() for t in texts]
+    calls, one = [], code.model_ids
+    monkeypatch.setattr(code, "model_ids", lambda t: calls.append(t) or one(t))
+    ids, n = code.batch(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    assert len(calls) < 100 < code.pieces.n  # what begins a line, and marks
+    code.forget()
+    code.begins[:] = False  # no cut is sure: one by one
+    ids, n = code.batch(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want and len(calls) > 1000
